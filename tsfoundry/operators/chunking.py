@@ -123,19 +123,21 @@ def known_neighbours(
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
     ends = d.groupBy(*keys, CHUNK).agg(F.max(point).alias("__last"), F.min(point).alias("__first"))
     axis = Window.partitionBy(*keys).orderBy(CHUNK)
+    # "after" is a running frame over the reversed order: a frame that ends
+    # unbounded would be evaluated anew for every row.
     before = axis.rowsBetween(Window.unboundedPreceding, -1)
-    after = axis.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         *keys, CHUNK,
         F.last("__last", ignorenulls=True).over(before).alias("__in"),
-        F.first("__first", ignorenulls=True).over(after).alias("__out"),
+        F.last("__first", ignorenulls=True).over(after).alias("__out"),
     )
     w = Window.partitionBy(*keys, CHUNK).orderBy(idx)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, CHUNK).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
     joined = d.join(carry, [*keys, CHUNK])
     return joined.select(
         *df.columns,
         F.coalesce(F.last(point, ignorenulls=True).over(back), F.col("__in")).alias(f"{prefix}prev"),
-        F.coalesce(F.first(point, ignorenulls=True).over(ahead), F.col("__out")).alias(f"{prefix}next"),
+        F.coalesce(F.last(point, ignorenulls=True).over(ahead), F.col("__out")).alias(f"{prefix}next"),
     )

@@ -75,7 +75,7 @@ def add_rolling(
     """``{col}_{stat}_{n}h`` over the last n rows including the current one.
 
     ``stats`` may name mean, std, var, min, max, sum, count, median and ``q0.9``
-    style quantiles. Fewer than ``min_periods`` non-null rows give null.
+    style quantiles (the dot becomes ``_``). Fewer than ``min_periods`` non-null rows give null.
     """
 
     def build(w: Window) -> dict[str, Column]:
@@ -87,7 +87,7 @@ def add_rolling(
                     value = _frame_stat(s, c).over(frame)
                     if min_periods > 1:
                         value = F.when(F.count(c).over(frame) >= min_periods, value)
-                    out[f"{c}_{s}_{n}{unit}"] = value
+                    out[f"{c}_{s}_{n}{unit}".replace(".", "_")] = value
         return out
 
     return over_chunks(df, keys, idx, max(windows) - 1, build)

@@ -16,11 +16,6 @@ ON = ["series_id", "ts"]
 AS_OF = "1998-06-01 00:00:00"
 
 
-def _ship_daily(spark, sf):
-    """Line items per return flag and day: totals of quantity and tax."""
-    return daily_exog(spark, sf).select("series_id", "ts", "qty", "tax")
-
-
 @query("left_join_exog", sql="""
 WITH t AS (SELECT o_orderstatus AS series_id, o_orderdate AS ts, sum(o_totalprice) AS y FROM orders GROUP BY 1, 2),
 x AS (SELECT l_linestatus AS series_id, l_shipdate AS ts, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2)
