@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tsfoundry.plans import q_align, q_filters, q_metrics, q_scalars, q_sources, q_windows  # noqa: F401
+from tsfoundry.plans import q_align, q_filters, q_metrics, q_scalars, q_sources, q_stats, q_windows  # noqa: F401
 from tsfoundry.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
