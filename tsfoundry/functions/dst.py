@@ -18,17 +18,27 @@ def localize(
 
     A time skipped in spring becomes null. Of a time that occurs twice in
     autumn the first row by ``order`` is summer time and later ones are
-    standard time; a single row is taken as summer time.
+    standard time; a single row is taken as summer time. The session time
+    zone must be UTC, as ``configure`` sets it.
     """
-    zone_l, utc_l = F.lit(zone), F.lit("UTC")
-    early = F.convert_timezone(zone_l, utc_l, F.col(local))
-    late = shift_ts(early, HOUR)
-    exists = F.convert_timezone(utc_l, zone_l, early) == F.col(local)
-    twice = exists & (F.convert_timezone(utc_l, zone_l, late) == F.col(local))
+    def to_utc(c: Column) -> Column:
+        return F.to_utc_timestamp(c, zone).cast("timestamp_ntz")
+
+    def to_local(c: Column) -> Column:
+        return F.from_utc_timestamp(c, zone).cast("timestamp_ntz")
+
+    # each conversion is evaluated once and kept as a column
+    df = df.withColumn("__early", to_utc(F.col(local)))
+    df = df.withColumn("__exists", to_local(F.col("__early")) == F.col(local))
+    df = df.withColumn("__twice", to_local(shift_ts("__early", HOUR)) == F.col(local))
+    early, exists, late = F.col("__early"), F.col("__exists"), shift_ts("__early", HOUR)
+    twice = exists & F.col("__twice")
     first = df.filter(twice).groupBy(*keys, local).agg(F.min(order).alias("__first"))
     joined = df.join(first, [*keys, local], "left")
     again = F.col("__first").isNotNull() & (F.col(order) > F.col("__first"))
-    return joined.withColumn(out, F.when(exists, F.when(again, late).otherwise(early))).drop("__first")
+    return joined.withColumn(out, F.when(exists, F.when(again, late).otherwise(early))).drop(
+        "__first", "__early", "__exists", "__twice"
+    )
 
 
 def last_sunday_of_march(ts: Column | str) -> Column:

@@ -120,24 +120,33 @@ def known_neighbours(
     where no known value exists on that side.
     """
     d = _with_chunk(df, idx, chunk)
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
-    ends = d.groupBy(*keys, CHUNK).agg(F.max(point).alias("__last"), F.min(point).alias("__first"))
-    axis = Window.partitionBy(*keys).orderBy(CHUNK)
+    at = F.when(F.col(value).isNotNull(), F.col(idx))
+    ends = d.groupBy(*keys, CHUNK).agg(
+        F.max(at).alias("__li"), F.max_by(value, at).alias("__lv"),
+        F.min(at).alias("__fi"), F.min_by(value, at).alias("__fv"),
+    )
     # "after" is a running frame over the reversed order: a frame that ends
     # unbounded would be evaluated anew for every row.
-    before = axis.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         *keys, CHUNK,
-        F.last("__last", ignorenulls=True).over(before).alias("__in"),
-        F.last("__first", ignorenulls=True).over(after).alias("__out"),
+        *[F.last(c, ignorenulls=True).over(before).alias(f"__in{c[-1]}") for c in ("__li", "__lv")],
+        *[F.last(c, ignorenulls=True).over(after).alias(f"__out{c[-1]}") for c in ("__fi", "__fv")],
     )
-    w = Window.partitionBy(*keys, CHUNK).orderBy(idx)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, CHUNK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys, CHUNK).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = d.join(carry, [*keys, CHUNK])
-    return joined.select(
+    seen = d.join(carry, [*keys, CHUNK]).select(
         *df.columns,
-        F.coalesce(F.last(point, ignorenulls=True).over(back), F.col("__in")).alias(f"{prefix}prev"),
-        F.coalesce(F.last(point, ignorenulls=True).over(ahead), F.col("__out")).alias(f"{prefix}next"),
+        F.coalesce(F.max(at).over(back), F.col("__ini")).alias("__pi"),
+        F.coalesce(F.last(value, ignorenulls=True).over(back), F.col("__inv")).alias("__pv"),
+        F.coalesce(F.min(at).over(ahead), F.col("__outi")).alias("__ni"),
+        F.coalesce(F.last(value, ignorenulls=True).over(ahead), F.col("__outv")).alias("__nv"),
+    )
+
+    def pair(i: str, v: str) -> Column:
+        return F.when(F.col(i).isNotNull(), F.struct(F.col(i).alias("i"), F.col(v).alias("v")))
+
+    return seen.select(
+        *df.columns, pair("__pi", "__pv").alias(f"{prefix}prev"), pair("__ni", "__nv").alias(f"{prefix}next")
     )

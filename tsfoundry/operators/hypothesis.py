@@ -615,24 +615,23 @@ def mutual_information(
     Columns are cut at ranks: a value falls into bin floor(bins * below / n),
     so equal values share a bin.
     """
-    cells = df.select(*keys, F.col(target).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in features])
-
-    def binned(c: str, out: str) -> DataFrame:
-        r = value_cumcounts(cells, keys, c)
-        return r.select(*keys, F.col("v").alias(c), F.floor(F.col("below") * bins / F.col("n")).cast("int").alias(out))
-
-    y_bins = binned("__y", "__by")
-    parts = []
-    for c in features:
-        # joint counts of the distinct pairs come first, then their bins
-        pairs = cells.filter(F.col(c).isNotNull() & F.col("__y").isNotNull()).groupBy(*keys, c, "__y").agg(F.count(F.lit(1)).alias("w"))
-        parts.append(
-            pairs.join(binned(c, "__bx"), [*keys, c]).join(y_bins, [*keys, "__y"])
-            .groupBy(*keys, "__bx", "__by").agg(F.sum("w").alias("w")).withColumn("feature", F.lit(c))
-        )
-    joint = parts[0]
-    for p in parts[1:]:
-        joint = joint.unionByName(p)
+    y = F.col(target).cast("double")
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("__x")) for c in features
+    ]))
+    long = df.filter(y.isNotNull()).select(*keys, y.alias("__y"), cells.alias("c")).select(*keys, "__y", "c.*")
+    # joint counts of distinct pairs come first, then the bins of both sides
+    pairs = long.filter(F.col("__x").isNotNull()).groupBy(*keys, "feature", "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
+
+    def binned(by: Sequence[str], c: str, out: str) -> DataFrame:
+        r = value_cumcounts(pairs, by, c, weight=F.col("w"))
+        return r.select(*by, F.col("v").alias(c), F.floor(F.col("below") * bins / F.col("n")).cast("int").alias(out))
+
+    both = [*keys, "feature"]
+    joint = (
+        pairs.join(binned(both, "__x", "__bx"), [*both, "__x"]).join(binned(both, "__y", "__by"), [*both, "__y"])
+        .groupBy(*both, "__bx", "__by").agg(F.sum("w").alias("w"))
+    )
     by = [*keys, "feature"]
     grid = joint.groupBy(*by).agg(  # at most bins^2 cells per key and feature
         F.collect_list(F.struct("__bx", "__by", "w")).alias("cells"), F.sum("w").alias("n")

@@ -24,13 +24,20 @@ def _bucket(v: Column) -> Column:
     return (F.signum(v) * magnitude).cast("int")
 
 
+def _ranks(p: float) -> tuple[Column, Column]:
+    """0-based ranks whose values enclose the quantile ``p``."""
+    position = (F.col("n") - 1) * F.lit(float(p))
+    return F.floor(position), F.ceil(position)
+
+
 def value_cumcounts(
     df: DataFrame, keys: Sequence[str], value: Column | str, weight: Column | None = None,
-    split_above: int = SPLIT_ABOVE,
+    split_above: int = SPLIT_ABOVE, probs: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per (keys, v): its count ``c``, rows ``below`` it and the total ``n``.
 
-    Null values are ignored.
+    Null values are ignored. With ``probs`` only the buckets holding the ranks
+    of those probabilities are ranked and returned.
     """
     v = F.col(value) if isinstance(value, str) else value
     w = weight if weight is not None else F.lit(1)
@@ -46,8 +53,15 @@ def value_cumcounts(
     ).select(
         *keys, B1, "__distinct", "__lo", "__hi",
         F.coalesce(F.sum("__cnt").over(axis.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off1"),
-        F.sum("__cnt").over(Window.partitionBy(*keys)).alias("n"),
+        F.sum("__cnt").over(Window.partitionBy(*keys)).alias("n"), "__cnt",
     )
+    if probs is not None:
+        wanted = F.lit(False)
+        for p in probs:
+            low, high = _ranks(p)
+            wanted = wanted | ((F.col("__off1") <= high) & (F.col("__off1") + F.col("__cnt") > low))
+        buckets = buckets.filter(wanted)
+    buckets = buckets.drop("__cnt")
     big = F.col("__distinct") > split_above
     share = (F.col("v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     placed = vc.join(buckets, [*keys, B1]).withColumn(
@@ -78,16 +92,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, one column per probability."""
     names = names or [f"q{p}" for p in probs]
-    ranked = value_cumcounts(df, keys, value)
+    ranked = value_cumcounts(df, keys, value, probs=probs)
     aggs = []
     for p, name in zip(probs, names):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.floor(pos), F.ceil(pos)
+        low, high = _ranks(p)
 
         def at(rank: Column) -> Column:
             inside = (rank >= F.col("below")) & (rank < F.col("below") + F.col("c"))
             return F.max(F.when(inside, F.col("v")))
 
-        frac = F.max(pos - low)
+        frac = F.max((F.col("n") - 1) * F.lit(float(p)) - low)
         aggs.append((at(low) + (at(high) - at(low)) * frac).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)

@@ -16,29 +16,41 @@ def centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
     return joined.withColumns({f"__d_{c}": F.col(c) - F.col(f"__m_{c}") for c in cols})
 
 
-def autocovariances(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int
-) -> DataFrame:
-    """One row per key: ``n`` and ``gamma``, the array of sums of lagged products / n."""
+def lagged_sums(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int) -> DataFrame:
+    """Long (keys, lag, n, g): sums of lagged products of the centred series / n.
+
+    Each row meets its ``max_lag`` predecessors inside one chunk; the products
+    are added up in the same stage, before anything is shuffled.
+    """
     d = centred(df.select(*keys, idx, value), keys, [value])
     name = f"__d_{value}"
     spread = over_chunks(
-        d, keys, idx, max_lag,
-        lambda w: {f"__l{k}": F.lag(name, k).over(w) for k in range(1, max_lag + 1)},
+        d, keys, idx, max_lag, lambda w: {"__past": F.collect_list(name).over(w.rowsBetween(-max_lag, 0))}
+    )
+    products = spread.select(*keys, name, F.posexplode(F.reverse("__past")).alias("lag", "__p"))
+    sums = products.groupBy(*keys, "lag").agg(
+        F.sum(F.col(name) * F.col("__p")).alias("__s"), F.count(F.lit(1)).alias("__k")
     )
-    n = F.count(name)
-    sums = [F.sum(F.col(name) * F.col(name))] + [
-        F.sum(F.col(name) * F.col(f"__l{k}")) for k in range(1, max_lag + 1)
-    ]
-    gamma = F.array(*[F.coalesce(s, F.lit(0.0)) / n for s in sums])
-    return spread.groupBy(*keys).agg(n.alias("n"), gamma.alias("gamma"))
+    n = F.max(F.when(F.col("lag") == 0, F.col("__k"))).over(Window.partitionBy(*keys))  # max_lag + 1 rows
+    return sums.select(*keys, "lag", n.alias("n"), (F.col("__s") / n).alias("g"))
+
+
+def autocovariances(
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int
+) -> DataFrame:
+    """One row per key: ``n`` and ``gamma``, autocovariances of lags 0..max_lag."""
+    long = lagged_sums(df, keys, idx, value, max_lag)
+    pairs = F.map_from_entries(F.collect_list(F.struct("lag", "g")))
+    one = long.groupBy(*keys).agg(F.max("n").alias("n"), pairs.alias("__m"))
+    lags = F.sequence(F.lit(0), F.lit(max_lag))
+    return one.select(*keys, "n", F.transform(lags, lambda k: F.coalesce(F.col("__m")[k], F.lit(0.0))).alias("gamma"))
 
 
 def acf(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int) -> DataFrame:
-    """Long (keys, lag, acf), lags 0..max_lag; global mean, divided by n."""
-    cov = autocovariances(df, keys, idx, value, max_lag)
-    long = cov.select(*keys, "n", F.element_at("gamma", 1).alias("g0"), F.posexplode("gamma").alias("lag", "g"))
-    return long.select(*keys, "n", "lag", (F.col("g") / F.nullif(F.col("g0"), F.lit(0.0))).alias("acf"))
+    """Long (keys, n, lag, acf), lags 0..max_lag; global mean, divided by n."""
+    long = lagged_sums(df, keys, idx, value, max_lag)
+    g0 = F.max(F.when(F.col("lag") == 0, F.col("g"))).over(Window.partitionBy(*keys))  # max_lag + 1 rows
+    return long.select(*keys, "n", "lag", (F.col("g") / F.nullif(g0, F.lit(0.0))).alias("acf"))
 
 
 def acf_outer(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int) -> DataFrame:
