@@ -41,6 +41,12 @@ def with_halo(
     )
 
 
+def plain_objects(pdf, columns: Sequence[str]):
+    """Key columns as plain objects: pandas may hold strings in several Arrow
+    chunks, which cannot be sent back as one column."""
+    return pdf.assign(**{c: pdf[c].astype(object) for c in columns})
+
+
 def over_chunks(
     df: DataFrame,
     keys: Sequence[str],

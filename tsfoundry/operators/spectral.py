@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tsfoundry.operators.chunking import over_chunks
+from tsfoundry.functions.loess import stl, stl_reach
+from tsfoundry.operators.chunking import CHUNK, OWN, chunk_size, over_chunks, plain_objects, with_halo
 
 
 def centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -124,3 +127,33 @@ def seasonal_decompose(
         placed.join(seasonal, [*keys, "__pos"]).drop("__pos", "__first")
         .withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal"))
     )
+
+
+def stl_decompose(
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, period: int = 24, seasonal: int = 7,
+    chunk: int | None = None,
+) -> DataFrame:
+    """Seasonal-trend decomposition: (keys, idx, value, trend, seasonal, resid).
+
+    Every smoother is local, so a chunk with a halo as wide as all passes can
+    see gives the same values as the whole series.
+    """
+    reach = stl_reach(period, seasonal)
+    size = chunk or chunk_size(2 * reach)
+    size = -(-size // period) * period
+    plain = df.select(*keys, idx, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid")]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        y = pdf[value].to_numpy(dtype=float)
+        if len(y) < 2 * period:
+            raise ValueError(f"a series needs at least {2 * period} rows")
+        trend, season = stl(y, period, seasonal)
+        out = pdf[[*keys, idx, value]].assign(trend=trend, seasonal=season, resid=y - trend - season)
+        return plain_objects(out[pdf[OWN].to_numpy()], keys)
+
+    halo = with_halo(plain, idx, reach, reach, size)
+    # a chunk that owns no row of the series has only halo rows: nothing to do
+    owned = halo.withColumn("__any", F.max(F.col(OWN).cast("int")).over(Window.partitionBy(*keys, CHUNK)))
+    return owned.filter(F.col("__any") == 1).drop("__any").groupBy(*keys, CHUNK).applyInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsfoundry.operators import hypothesis as hy
-from tsfoundry.operators import metrics
+from tsfoundry.operators import metrics, neighbours, spectral
 from tsfoundry.operators.linalg import finish, gram, lasso
 from tsfoundry.plans.panels import DAILY_EXOG, HOURLY, KEY, daily, daily_exog, hourly, table
 from tsfoundry.plans.q_metrics import FCB, MED, _JOIN, compared
@@ -274,3 +274,38 @@ def evaluation_report(spark, sf):
         [*by, "q"], ["mae", "rmse"], "metric", "value"
     )
     return quantile.unionByName(point).select("period", "series_id", "q", "metric", rnd("value").alias("value"))
+
+
+@query("bds_test")
+def bds_test(spark, sf):
+    return neighbours.bds(hourly(spark, sf), KEY, "idx", "y")
+
+
+@query("stl_decompose")
+def stl_decompose(spark, sf):
+    return spectral.stl_decompose(hourly(spark, sf), KEY, "idx", "y", 24)
+
+
+def _holed(spark, sf):
+    """Covariates without their values on the 15th of each month."""
+    return daily_exog(spark, sf).withColumn("qty", F.when(F.dayofmonth("ts") != 15, F.col("qty")))
+
+
+_COLS = ["y", "qty", "disc", "tax"]
+_KNN = f"""WITH {DAILY_EXOG}, h AS (SELECT series_id, CAST(epoch(ts) AS BIGINT) // 86400 AS idx, ts, y, CASE WHEN day(ts) <> 15 THEN qty END AS qty, disc, tax FROM daily_exog),
+d AS (SELECT a.series_id, a.idx, a.ts, b.idx AS donor, b.qty AS value, sqrt((pow(a.y - b.y, 2) + pow(a.disc - b.disc, 2) + pow(a.tax - b.tax, 2)) * 4 / 3) AS distance
+ FROM h a JOIN h b ON a.series_id = b.series_id WHERE a.qty IS NULL AND b.qty IS NOT NULL),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY series_id, idx ORDER BY round(distance, 9), donor) <= 5)"""
+
+
+@query("knn_join", sql=_KNN + " SELECT series_id, idx, count(*) AS donors, round(sum(distance), 5) + 0.0 AS distance FROM k GROUP BY 1, 2")
+def knn_join(spark, sf):
+    out = neighbours.knn_join(_holed(spark, sf), KEY, "idx", _COLS, "qty", 5)
+    per_row = out.groupBy("series_id", "idx").agg(F.count(F.lit(1)).alias("donors"), F.sum("distance").alias("distance"))
+    return per_row.select("series_id", "idx", "donors", rnd("distance", 5).alias("distance"))
+
+
+@query("knn_impute")
+def knn_impute(spark, sf):
+    out = neighbours.knn_impute(_holed(spark, sf), KEY, "idx", _COLS, 5, ["qty"])
+    return out.select("series_id", "ts", *_COLS)
