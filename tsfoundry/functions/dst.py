@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsfoundry.functions.time import HOUR, shift_ts
 from tsfoundry.operators.align import mark_all_but_last
+from tsfoundry.operators.lookup import attach
 
 
 def localize(
@@ -34,7 +35,7 @@ def localize(
     early, exists, late = F.col("__early"), F.col("__exists"), shift_ts("__early", HOUR)
     twice = exists & F.col("__twice")
     first = df.filter(twice).groupBy(*keys, local).agg(F.min(order).alias("__first"))
-    joined = df.join(first, [*keys, local], "left")
+    joined = attach(df, first, [*keys, local], "left", [order])
     again = F.col("__first").isNotNull() & (F.col(order) > F.col("__first"))
     return joined.withColumn(out, F.when(exists, F.when(again, late).otherwise(early))).drop(
         "__first", "__early", "__exists", "__twice"

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsfoundry.operators.lookup import attach
+
 
 def left_join_exog(target: DataFrame, exog: DataFrame, on: Sequence[str]) -> DataFrame:
     return target.join(exog, list(on), "left")
@@ -60,7 +62,7 @@ def keep_first(df: DataFrame, on: Sequence[str], order: Sequence[Column]) -> Dat
 def mark_all_but_last(df: DataFrame, on: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """True for each row that has a later row with the same ``on``."""
     last = df.groupBy(*on).agg(F.max(F.struct(*order)).alias("__last"))
-    joined = df.join(last, list(on))
+    joined = attach(df, last, on)
     return joined.withColumn(out, F.struct(*order) < F.col("__last")).drop("__last")
 
 
@@ -180,24 +182,21 @@ def holiday_proximity(
 ) -> DataFrame:
     """Days since the last and until the next holiday; 0 where there is none.
 
-    The as-of lookup is a range join with the gaps between neighbouring
-    holidays (ten rows per year); every date falls into at most two of them,
-    the second one only on a holiday, where the earlier gap is left out.
+    The gaps between holidays are listed day by day (at most 366 rows per year
+    of the table), so the as-of lookup is a broadcast equality join on the
+    date. Days outside the table only need its two ends.
     """
-    w = Window.orderBy("holiday")
-    far_past, far_future = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
-    inner = holidays.select(F.col("holiday").alias("__from"), F.lead("holiday").over(w).alias("__to"))
-    first = holidays.agg(F.min("holiday").alias("__to")).select(
-        F.lit(None).cast("date").alias("__from"), "__to"
-    )
-    gaps = inner.unionByName(first)
-    d = F.to_date(ts)
-    # [from, to): a holiday itself opens the gap that follows it
-    inside = (d >= F.coalesce("__from", far_past)) & (d < F.coalesce("__to", far_future))
-    joined = df.join(F.broadcast(gaps), inside, "left")
-    on_holiday = F.col("__from") == d
+    w = Window.orderBy("holiday")  # ten rows per year
+    gaps = holidays.select(F.col("holiday").alias("__from"), F.lead("holiday").over(w).alias("__to"))
+    last_day = F.coalesce(F.date_sub("__to", 1), F.col("__from"))
+    days = gaps.select(F.explode(F.sequence("__from", last_day)).alias("__d"), "__from", "__to")
+    ends = holidays.agg(F.min("holiday").alias("__lo"), F.max("holiday").alias("__hi"))
+    d = F.col("__d")
+    joined = df.withColumn("__d", F.to_date(ts)).join(F.broadcast(days), "__d", "left").crossJoin(F.broadcast(ends))
+    before, after = d < F.col("__lo"), d > F.col("__hi")
     return joined.withColumn(
-        since, F.coalesce(F.datediff(d, "__from"), F.lit(0))
+        since, F.when(before, 0).when(after, F.datediff(d, "__hi")).otherwise(F.datediff(d, "__from"))
     ).withColumn(
-        until, F.when(on_holiday, 0).otherwise(F.coalesce(F.datediff("__to", d), F.lit(0)))
-    ).drop("__from", "__to")
+        until, F.when(after | (d == F.col("__from")), 0).when(before, F.datediff("__lo", d))
+        .otherwise(F.coalesce(F.datediff("__to", d), F.lit(0)))
+    ).drop("__d", "__from", "__to", "__lo", "__hi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tsfoundry.functions import time as tm
 from tsfoundry.functions.time import HOUR, epoch, week_anchor
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.metrics import to_long
 from tsfoundry.operators.models.naive import quantile_column
 from tsfoundry.session import cut_lineage
@@ -42,7 +43,7 @@ def recursive_forecast(
     observed value outside the window).
     """
     start = first_anchor(df, keys, ts)
-    rows = df.join(start, list(keys)).filter(F.col(ts) >= F.col("anchor")).drop("anchor")
+    rows = attach(df, start, keys, spread=[idx]).filter(F.col(ts) >= F.col("anchor")).drop("anchor")
     opening = week_anchor(ts, tm.WED, 23)
     offset = ((epoch(ts) - epoch(opening)) / HOUR).cast("int")
     rows = rows.withColumn("__o", offset)

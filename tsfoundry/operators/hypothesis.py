@@ -15,6 +15,7 @@ from tsfoundry.functions import mathx
 from tsfoundry.functions.normal import norm_cdf, norm_ppf
 from tsfoundry.operators.chunking import over_chunks, row_numbers, running_sum
 from tsfoundry.operators.linalg import finish, gram, lag_gram, lagged, solve, unpack
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.metrics import diebold_mariano_terms
 from tsfoundry.operators.quantiles import exact_quantiles, value_cumcounts
 from tsfoundry.operators.spectral import acf, autocovariances, centred
@@ -56,7 +57,7 @@ def trend_residuals(df: DataFrame, keys: Sequence[str], idx: str, value: str) ->
     """Residuals ``r`` (and ``fitted``) of the regression of a series on time."""
     d = trend(df, keys, idx)
     fit = d.groupBy(*keys).agg(F.regr_slope(value, "t").alias("__b"), F.regr_intercept(value, "t").alias("__a"))
-    out = d.join(fit, list(keys)).withColumn("fitted", F.col("__a") + F.col("__b") * F.col("t"))
+    out = attach(d, fit, keys, spread=[idx]).withColumn("fitted", F.col("__a") + F.col("__b") * F.col("t"))
     return out.withColumn("r", F.col(value) - F.col("fitted")).drop("__a", "__b")
 
 
@@ -290,7 +291,7 @@ def anderson_darling(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     carries the weight sums of those ranks in closed form.
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    ranked = value_cumcounts(df, keys, value).join(stats, list(keys))
+    ranked = attach(value_cumcounts(df, keys, value), stats, keys, spread=["below"])
     z = (F.col("v") - F.col("__m")) / F.col("__s")
     # the upper tail is taken from the mirrored argument, not from 1 - cdf
     low, high = F.log(norm_cdf(z)), F.log(norm_cdf(-z))
@@ -574,7 +575,7 @@ def ols_residuals(df: DataFrame, keys: Sequence[str], target: str, regressors: S
     coefs = ols_summary(df, keys, target, regressors).groupBy(*keys).agg(*[
         F.max(F.when(F.col("term") == n, F.col("coef"))).alias(f"__b_{n}") for n in ("const", *regressors)
     ])
-    joined = df.join(coefs, list(keys)) if keys else df.crossJoin(F.broadcast(coefs))  # one row of coefficients
+    joined = attach(df, coefs, keys)
     fitted = F.col("__b_const")
     for r in regressors:
         fitted = fitted + F.col(f"__b_{r}") * F.col(r)

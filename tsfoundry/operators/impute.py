@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsfoundry.operators.chunking import known_neighbours, over_chunks, row_numbers
+from tsfoundry.operators.lookup import attach
 
 
 def _linear(t: Column, direction: str) -> Column:
@@ -85,4 +86,4 @@ def fill(df: DataFrame, keys: Sequence[str], idx: str, value: str, methods: Sequ
 
 def mean_impute(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None) -> DataFrame:
     means = df.groupBy(*keys).agg(F.avg(value).alias("__m"))
-    return df.join(means, list(keys)).withColumn(out or value, F.coalesce(value, "__m")).drop("__m")
+    return attach(df, means, keys).withColumn(out or value, F.coalesce(value, "__m")).drop("__m")

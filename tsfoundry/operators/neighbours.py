@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from tsfoundry.functions.time import floor_div
 from tsfoundry.operators.chunking import over_chunks, plain_objects, row_numbers
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.quantiles import value_cumcounts
+from tsfoundry.session import cut_lineage
 
 BLOCK = "__block"
 OTHER = "other_"
@@ -57,8 +59,9 @@ def knn_join(
         raise ValueError("distances need a second column")
     pivot = others[0]
     base = df.select(*keys, idx, *[F.col(c).cast("double").alias(c) for c in cols])
-    donors = blocks(base.filter(F.col(target).isNotNull()), keys, idx, pivot, size)
-    asks = base.filter(F.col(target).isNull())
+    # used by both passes: written once, in shared storage
+    donors = cut_lineage(blocks(base.filter(F.col(target).isNotNull()), keys, idx, pivot, size))
+    asks = cut_lineage(base.filter(F.col(target).isNull()))
     ranges = donors.groupBy(*keys, BLOCK).agg(F.min(pivot).alias("__lo"), F.max(pivot).alias("__hi"))
 
     key_fields = [df.schema[c] for c in (*keys, idx)]
@@ -104,12 +107,12 @@ def knn_join(
     x = F.col(pivot)
     gap = F.greatest(F.lit(0.0), F.col("__lo") - x, x - F.col("__hi"))
     # every row against the few block ranges of its key
-    pairs = asks.join(ranges, list(keys)).withColumn("__gap", gap)
+    pairs = attach(asks, ranges, keys, spread=[idx]).withColumn("__gap", gap)
     home = pairs.filter(F.col("__gap").isNotNull()).groupBy(*keys, idx).agg(
         F.min_by(BLOCK, F.struct("__gap", BLOCK)).alias("__home")
     )
     at_home = asks.join(home, [*keys, idx]).withColumnRenamed("__home", BLOCK)
-    first = search(at_home)
+    first = cut_lineage(search(at_home))
     bound = first.groupBy(*keys, idx).agg(F.max("distance").alias("__bound"), F.count(F.lit(1)).alias("__found"))
     limit = F.when(F.col("__found") >= k, F.col("__bound")).otherwise(F.lit(float("inf")))
     rest = (
@@ -150,9 +153,9 @@ def bds(df: DataFrame, keys: Sequence[str], idx: str, value: str, distance: floa
     stats = df.groupBy(*keys).agg(
         (F.stddev_samp(value) * distance).alias("eps"), F.count(value).alias("n"), F.min(idx).alias("__first")
     )
-    d = df.select(*keys, idx, F.col(value).cast("double").alias("x")).join(stats, list(keys))
+    d = attach(df.select(*keys, idx, F.col(value).cast("double").alias("x")), stats, keys)
     pairs = over_chunks(d, keys, idx, 0, lambda w: {"z": F.lead("x", 1).over(w)}, lookahead=1)
-    cut = blocks(pairs, keys, idx, "x", size).select(*keys, idx, BLOCK, "x", "z", "eps", "n", "__first")
+    cut = cut_lineage(blocks(pairs, keys, idx, "x", size).select(*keys, idx, BLOCK, "x", "z", "eps", "n", "__first"))
     ranges = cut.groupBy(*keys, BLOCK).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("eps").alias("e"))
     a, b = ranges.alias("a"), ranges.alias("b")
     same = F.lit(True)
@@ -196,7 +199,7 @@ def bds(df: DataFrame, keys: Sequence[str], idx: str, value: str, distance: floa
     tile = [*keys, "ta", "tb"]
     others = renamed(right).groupBy(*[OTHER + c for c in tile])
     counted = left.groupBy(*tile).cogroup(others).applyInPandas(count, schema)
-    per_row = counted.groupBy(*keys, idx).agg(*[F.sum(c).alias(c) for c in ("hits", "late", "joint")]).join(stats, list(keys))
+    per_row = attach(counted.groupBy(*keys, idx).agg(*[F.sum(c).alias(c) for c in ("hits", "late", "joint")]), stats, keys)
     h = F.col("hits").cast("double")
     sums = per_row.groupBy(*keys, "n").agg(
         F.sum(h).alias("s"), F.sum(h * h).alias("s2"), F.sum("joint").alias("j"),

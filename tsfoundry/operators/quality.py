@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsfoundry.functions.time import HOUR, epoch
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.quantiles import exact_quantiles
 
 NUMERIC = ("double", "float", "tinyint", "smallint", "int", "bigint")
@@ -83,7 +84,7 @@ def iqr_bounds(df: DataFrame, keys: Sequence[str], column: str, k: float = 1.5)
 
 
 def with_iqr_bounds(df: DataFrame, keys: Sequence[str], column: str, k: float = 1.5) -> DataFrame:
-    return df.join(iqr_bounds(df, keys, column, k), list(keys))
+    return attach(df, iqr_bounds(df, keys, column, k), keys)
 
 
 def iqr_outliers(df: DataFrame, keys: Sequence[str], column: str, k: float = 1.5) -> DataFrame:
@@ -101,7 +102,7 @@ def zscores(df: DataFrame, keys: Sequence[str], column: str, ddof: int = 1) -> D
     """Add ``z``; null where the deviation is zero. ``ddof`` is 1 (EDA) or 0 (cleaning)."""
     deviation = {1: F.stddev_samp, 0: F.stddev_pop}[ddof]
     stats = df.groupBy(*keys).agg(F.avg(column).alias("__m"), deviation(column).alias("__s"))
-    scored = df.join(stats, list(keys))
+    scored = attach(df, stats, keys)
     z = (F.col(column) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))
     return scored.withColumn("z", z).drop("__m", "__s")
 
@@ -115,7 +116,7 @@ def zscore_outliers(
 def residual_outliers(df: DataFrame, keys: Sequence[str], residual: str, limit: float = 3.0) -> DataFrame:
     """Rows whose uncentred residual exceeds ``limit`` sample deviations."""
     stats = df.groupBy(*keys).agg(F.stddev_samp(residual).alias("__s"))
-    return df.join(stats, list(keys)).filter(F.abs(residual) > limit * F.col("__s")).drop("__s")
+    return attach(df, stats, keys).filter(F.abs(residual) > limit * F.col("__s")).drop("__s")
 
 
 def staleness(df: DataFrame, source: str, ts: str, as_of: Column, max_hours: int = 3) -> DataFrame:

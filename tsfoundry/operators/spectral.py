@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 from tsfoundry.functions.loess import stl, stl_reach
 from tsfoundry.operators.chunking import CHUNK, OWN, chunk_size, over_chunks, plain_objects, with_halo
+from tsfoundry.operators.lookup import attach
 
 
 def centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    joined = df.join(means, list(keys))
+    joined = attach(df, means, keys)
     return joined.withColumns({f"__d_{c}": F.col(c) - F.col(f"__m_{c}") for c in cols})
 
 
@@ -118,13 +119,13 @@ def seasonal_decompose(
         return {"trend": (inner + 0.5 * (first + last)) / period}
 
     start = df.groupBy(*keys).agg(F.min(idx).alias("__first"))
-    smooth = over_chunks(df, keys, idx, half, build, lookahead=half).join(start, list(keys))
+    smooth = attach(over_chunks(df, keys, idx, half, build, lookahead=half), start, keys, spread=[idx])
     placed = smooth.withColumn("__pos", F.pmod(F.col(idx) - F.col("__first"), F.lit(period)))
     means = placed.groupBy(*keys, "__pos").agg(F.avg(F.col(value) - F.col("trend")).alias("__s"))
     level = F.avg("__s").over(Window.partitionBy(*keys))  # `period` rows per key
     seasonal = means.select(*keys, "__pos", (F.col("__s") - level).alias("seasonal"))
     return (
-        placed.join(seasonal, [*keys, "__pos"]).drop("__pos", "__first")
+        attach(placed, seasonal, [*keys, "__pos"], spread=[idx]).drop("__pos", "__first")
         .withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal"))
     )
 

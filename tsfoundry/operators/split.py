@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsfoundry.functions.time import DAY, HOUR, WEEK, epoch, from_epoch, shift_ts
 from tsfoundry.operators.chunking import row_numbers
+from tsfoundry.operators.lookup import attach
 
 
 def split_fraction(df: DataFrame, keys: Sequence[str], idx: str, fraction: float) -> DataFrame:
@@ -91,7 +92,7 @@ def assign_folds(
     train_hours: int | None = None,
 ) -> DataFrame:
     """Long (row, fold, role). Sliding training keeps the last ``train_hours`` only."""
-    joined = df.join(folds, list(keys))
+    joined = attach(df, folds, keys)
     t = F.col(ts)
     train = t <= F.col("fold_train_end")
     if kind == "sliding":
@@ -104,5 +105,5 @@ def assign_folds(
 
 def test_fold(df: DataFrame, folds: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Only the test rows, each with the one fold it belongs to."""
-    joined = df.join(folds, list(keys))
+    joined = attach(df, folds, keys)
     return joined.filter(F.col(ts).between(F.col("test_start"), F.col("test_end")))

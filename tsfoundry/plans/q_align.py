@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tsfoundry.functions.time import DAY, ts_lit
 from tsfoundry.operators import align
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.resample import regular_grid, resample
 from tsfoundry.plans.panels import (
     DAILY, DAILY_EXOG, HOURLY, KEY, daily, daily_exog, hourly, table,
@@ -178,7 +179,7 @@ SELECT n.series_id, pairs, n, round(pairs / (CAST(n AS DOUBLE) * (n - 1)), 9) +
 def recurrence_band_join(spark, sf):
     panel = hourly(spark, sf)
     span = panel.groupBy("series_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    unit = panel.join(span, "series_id").select(
+    unit = attach(panel, span, KEY).select(
         "series_id", ((F.col("y") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x")
     )
     out = align.band_counts(unit, KEY, "x", 0.1)

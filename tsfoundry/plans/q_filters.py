@@ -8,6 +8,7 @@ from tsfoundry.functions import time as tm
 from tsfoundry.functions.time import DAY, HOUR, ts_lit
 from tsfoundry.operators import quality, split
 from tsfoundry.operators.features import add_calendar, add_lags
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.resample import resample
 from tsfoundry.plans.panels import DAILY, DAILY_EXOG, HOURLY, KEY, daily, daily_exog, hourly, table
 from tsfoundry.plans.registry import query, rnd
@@ -57,7 +58,7 @@ WHERE {_window_sql(20)} AND ts > first_ts""")
 def filter_baseline_window(spark, sf):
     panel = hourly(spark, sf)
     first = panel.groupBy("series_id").agg(F.min("ts").alias("first_ts"))
-    kept = panel.join(first, "series_id").filter(tm.forecast_window("ts", 20) & (F.col("ts") > F.col("first_ts")))
+    kept = attach(panel, first, KEY).filter(tm.forecast_window("ts", 20) & (F.col("ts") > F.col("first_ts")))
     return kept.select("series_id", "ts", rnd("y").alias("y"))
 
 
@@ -74,7 +75,7 @@ def anchor_first_match(spark, sf):
     panel = hourly(spark, sf)
     match = (tm.weekday("ts") == tm.WED) & (tm.hour("ts") >= 18)
     anchors = panel.filter(match).groupBy("series_id").agg(F.min("ts").alias("anchor"))
-    kept = panel.join(anchors, "series_id").filter(F.col("ts") >= F.col("anchor"))
+    kept = attach(panel, anchors, KEY).filter(F.col("ts") >= F.col("anchor"))
     return kept.select("series_id", "ts", rnd("y").alias("y"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tsfoundry.functions import dst, scalar
 from tsfoundry.functions.time import HOUR, shift_ts, ts_lit
 from tsfoundry.operators import features, metrics, scale, split
+from tsfoundry.operators.lookup import attach
 from tsfoundry.plans.panels import DAILY, DAILY_EXOG, HOURLY, KEY, daily, daily_exog, hourly, table
 from tsfoundry.plans.registry import query, rnd
 
@@ -116,7 +117,7 @@ def minmax_unit(spark, sf):
     panel = hourly(spark, sf)
     span = panel.groupBy("series_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     unit = (F.col("y") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    return panel.join(span, "series_id").select("series_id", "ts", rnd(unit, 9).alias("x"))
+    return attach(panel, span, KEY).select("series_id", "ts", rnd(unit, 9).alias("x"))
 
 
 @query("residual", sql=f"""WITH {HOURLY}, f AS (SELECT series_id, ts, y, lag(y, 24) OVER (PARTITION BY series_id ORDER BY ts) AS yhat FROM hourly)

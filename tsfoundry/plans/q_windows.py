@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tsfoundry.functions.time import HOUR, ts_lit
 from tsfoundry.operators import features, impute, spectral
 from tsfoundry.operators.chunking import over_chunks, running_sum
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.models.naive import quantile_column, seasonal_quantiles
 from tsfoundry.operators.resample import resample
 from tsfoundry.plans.panels import (
@@ -176,7 +177,7 @@ def cusum(spark, sf):
     out = running_sum(errors, KEY, "idx", {"cusum": F.coalesce(F.col("e"), F.lit(0.0))})
     started = F.when(F.col("idx") >= F.col("first_idx") + 7, F.col("cusum"))
     first = errors.groupBy(*KEY).agg(F.min("idx").alias("first_idx"))
-    return out.join(first, KEY).select("series_id", "ts", rnd(started).alias("cusum"))
+    return attach(out, first, KEY).select("series_id", "ts", rnd(started).alias("cusum"))
 
 
 _ACF = f"""WITH {HOURLY},
