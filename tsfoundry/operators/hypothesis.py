@@ -15,7 +15,7 @@ from tsfoundry.functions import mathx
 from tsfoundry.functions.normal import norm_cdf, norm_ppf
 from tsfoundry.operators.chunking import over_chunks, row_numbers, running_sum
 from tsfoundry.operators.linalg import finish, gram, lag_gram, lagged, solve, unpack
-from tsfoundry.operators.lookup import attach
+from tsfoundry.operators.lookup import INTEGRAL, attach
 from tsfoundry.operators.metrics import diebold_mariano_terms
 from tsfoundry.operators.quantiles import exact_quantiles, value_cumcounts
 from tsfoundry.operators.spectral import acf, autocovariances, centred
@@ -620,18 +620,26 @@ def mutual_information(
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("__x")) for c in features
     ]))
-    long = df.filter(y.isNotNull()).select(*keys, y.alias("__y"), cells.alias("c")).select(*keys, "__y", "c.*")
-    # joint counts of distinct pairs come first, then the bins of both sides
-    pairs = long.filter(F.col("__x").isNotNull()).groupBy(*keys, "feature", "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
+    stable = [c for c, t in df.dtypes if t in INTEGRAL and c not in keys][:2]
+    long = df.filter(y.isNotNull()).select(*keys, *stable, y.alias("__y"), cells.alias("c")).select(
+        *keys, *stable, "__y", "c.*"
+    ).filter(F.col("__x").isNotNull())
+    both = [*keys, "feature"]
 
-    def binned(by: Sequence[str], c: str, out: str) -> DataFrame:
-        r = value_cumcounts(pairs, by, c, weight=F.col("w"))
-        return r.select(*by, F.col("v").alias(c), F.floor(F.col("below") * bins / F.col("n")).cast("int").alias(out))
+    def edges(c: str, out: str) -> DataFrame:
+        """Smallest value of each bin: at most ``bins`` entries per key and feature."""
+        r = value_cumcounts(long, both, c)
+        slot = F.floor(F.col("below") * bins / F.col("n")).cast("int")
+        low = r.groupBy(*both, slot.alias("b")).agg(F.min("v").alias("v"))
+        return low.groupBy(*both).agg(F.array_sort(F.collect_list(F.struct("v", "b"))).alias(out))
 
-    both = [*keys, "feature"]
-    joint = (
-        pairs.join(binned(both, "__x", "__bx"), [*both, "__x"]).join(binned(both, "__y", "__by"), [*both, "__y"])
-        .groupBy(*both, "__bx", "__by").agg(F.sum("w").alias("w"))
+    def place(c: str, e: str) -> Column:
+        return F.aggregate(e, F.lit(-1), lambda acc, s: F.when(s["v"] <= F.col(c), s["b"]).otherwise(acc))
+
+    cuts = edges("__x", "__ex").join(edges("__y", "__ey"), both)
+    binned = attach(long, cuts, both, spread=stable)
+    joint = binned.groupBy(*both, place("__x", "__ex").alias("__bx"), place("__y", "__ey").alias("__by")).agg(
+        F.count(F.lit(1)).alias("w")
     )
     by = [*keys, "feature"]
     grid = joint.groupBy(*by).agg(  # at most bins^2 cells per key and feature

@@ -48,7 +48,8 @@ def box_stats(df: DataFrame, ts: str, value: str, k: float = 1.5) -> DataFrame:
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
     v = F.col(value)
-    return counts.join(q, by).groupBy(*by, "q1", "med", "q3").agg(
+    joined = counts.join(F.broadcast(q), by)  # 12 months, 7 weekdays, 24 hours
+    return joined.groupBy(*by, "q1", "med", "q3").agg(
         F.sum("c").alias("n"), F.min(F.when(v >= lo, v)).alias("low"), F.max(F.when(v <= hi, v)).alias("high"),
         F.coalesce(F.sum(F.when((v < lo) | (v > hi), F.col("c"))), F.lit(0)).alias("fliers"),
     )

@@ -60,9 +60,17 @@ def ljung_box(spark, sf):
     return hy.ljung_box(hourly(spark, sf), KEY, "idx", "y", [10, 20, 24]).select("series_id", "lags", rnd("statistic").alias("statistic"))
 
 
-@query("ljung_box_p_values")
+#: Upper tail of a chi-squared law with an even number of degrees of freedom.
+_CHI2_EVEN = "exp(-s / 2) * list_sum(list_transform(range(0, lags // 2), lambda i: pow(s / 2, i) / gamma(i + 1.0)))"
+
+
+@query("ljung_box_p_values", sql=_ACF + f""", n AS (SELECT series_id, count(*) AS n FROM hourly GROUP BY 1),
+q AS (SELECT acf.series_id, k.lags, any_value(n * (n + 2)) * sum(r * r / (n - lag)) AS s
+FROM acf JOIN n ON n.series_id = acf.series_id JOIN (SELECT unnest([10, 20, 24]) AS lags) k ON lag BETWEEN 1 AND k.lags GROUP BY 1, 2)
+SELECT series_id, CAST(lags AS INTEGER) AS lags, round({_CHI2_EVEN}, 8) + 0.0 AS p_value FROM q""")
 def ljung_box_p_values(spark, sf):
-    return hy.ljung_box(hourly(spark, sf), KEY, "idx", "y", [10, 20, 24])
+    out = hy.ljung_box(hourly(spark, sf), KEY, "idx", "y", [10, 20, 24])
+    return out.select("series_id", "lags", rnd("p_value", 8).alias("p_value"))
 
 
 @query("pacf")
@@ -305,7 +313,8 @@ def knn_join(spark, sf):
     return per_row.select("series_id", "idx", "donors", rnd("distance", 5).alias("distance"))
 
 
-@query("knn_impute")
+@query("knn_impute", sql=_KNN + """, m AS (SELECT series_id, idx, avg(value) AS v FROM k GROUP BY 1, 2)
+SELECT h.series_id, ts, round(coalesce(qty, v), 6) + 0.0 AS qty FROM h LEFT JOIN m ON m.series_id = h.series_id AND m.idx = h.idx""")
 def knn_impute(spark, sf):
     out = neighbours.knn_impute(_holed(spark, sf), KEY, "idx", _COLS, 5, ["qty"])
-    return out.select("series_id", "ts", *_COLS)
+    return out.select("series_id", "ts", rnd("qty").alias("qty"))

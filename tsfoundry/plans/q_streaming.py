@@ -34,8 +34,8 @@ SELECT event_type, date_trunc('hour', ts) AS hour, min(event_id) AS event_id, ar
 def stream_upsert(spark, sf):
     rows = _events(spark, sf).select("event_type", floor_ts("ts", HOUR).alias("hour"), "event_id", "value")
     root, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-ck")
-    newest = inc.upsert(rows, ["event_type"], "hour", root, checkpoint, tiebreak=[F.col("event_id")])
-    return spark.read.parquet(newest).select("event_type", "hour", "event_id", "value")
+    merged = inc.upsert(rows, ["event_type"], "hour", root, checkpoint, tiebreak=[F.col("event_id")])
+    return merged.select("event_type", "hour", "event_id", "value")
 
 
 @query("stream_split", sql="""

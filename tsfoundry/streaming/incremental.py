@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tsfoundry.operators.align import append_dedupe
-from tsfoundry.sources.store import exists
+from tsfoundry.operators.align import append_dedupe, keep_first
+from tsfoundry.sources.store import path_exists
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
@@ -33,26 +33,30 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def upsert(
-    stream: DataFrame, keys: Sequence[str], ts: str, root: str, checkpoint: str, late: str = "2 hours",
+    stream: DataFrame, keys: Sequence[str], ts: str, root: str, checkpoint: str,
     tiebreak: Sequence[Column] = (),
-) -> str:
-    """Merge batches into versioned tables under ``root``; rows already there win.
+) -> DataFrame:
+    """Merge batches into a table partitioned by day; rows already there win.
 
-    Each batch writes a new version numbered by the batch, so replaying a
-    batch after a failure rebuilds the same version. Returns the newest path.
+    A batch reads and rewrites only the days it touches. Merging a batch a
+    second time, as after a failure, changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        previous = f"{root}/v{batch_id - 1}"
-        old = spark.read.parquet(previous) if batch_id > 0 and exists(spark, previous) else batch.limit(0)
-        merged = append_dedupe(old, batch, [*keys, ts], tiebreak=tiebreak)
-        merged.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        fresh = batch.withColumn("day", F.to_date(ts))
+        merged = keep_first(fresh, ["day", *keys, ts], list(tiebreak) or [F.col(ts)])
+        # overwriting single partitions leaves no completion marker at the root
+        if path_exists(spark, root):
+            old = spark.read.schema(fresh.schema).parquet(root)
+            touched = old.join(fresh.select("day").distinct(), "day", "left_semi")
+            merged = append_dedupe(touched, merged, ["day", *keys, ts], tiebreak=tiebreak)
+        writer = merged.select(*fresh.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day").parquet(root)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    done = [p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0]
-    return f"{root}/v{max(done)}"
+    return stream.sparkSession.read.parquet(root)
 
 
 def split_by(stream: DataFrame, ts: str, as_of: Column) -> DataFrame:
