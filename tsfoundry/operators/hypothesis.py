@@ -167,14 +167,16 @@ _KPSS_CRIT, _KPSS_P = [0.347, 0.463, 0.574, 0.739], [0.10, 0.05, 0.025, 0.01]
 def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0) -> DataFrame:
     """Level-stationarity test with data-dependent bandwidth."""
     d = difference(df.select(*keys, idx, value), keys, idx, value, diff)
-    n_max = max_length(d, keys)
-    short = int(n_max ** (2 / 9))
-    # the bandwidth grows with n^(1/3) and the ratio of the short-lag sums
-    reach = min(n_max - 1, int(4 * 1.1447 * max(short, 1) ** (2 / 3) * n_max ** (1 / 3)) + 1)
+    # the bandwidth follows from a few short lags; the longest one is a number
+    short = max(1, int(max_length(d, keys) ** (2 / 9)))
+    row = autocovariances(d, keys, idx, value, short).withColumn("lags", _bandwidth_column(short))
+    reach = row.agg(F.max("lags")).first()[0] or 0
+    # a series may be shorter than the reach: its missing lags count as zero
+    bandwidths = row.select(*keys, "lags")
     c = centred(d, keys, [value])
     steps = running_sum(c, keys, idx, {"s": F.col(f"__d_{value}")})
     eta = steps.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    cov = autocovariances(d, keys, idx, value, reach).join(eta, list(keys))
+    cov = autocovariances(d, keys, idx, value, max(1, reach)).join(eta, list(keys)).join(bandwidths, list(keys))
     fields = ", ".join(f"`{k}` {cov.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
@@ -183,7 +185,7 @@ def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0
             for r in pdf.itertuples(index=False):
                 rec = r._asdict()
                 n, sums = rec["n"], np.asarray(rec["gamma"], dtype=float) * rec["n"]
-                lags = _bandwidth(n, sums)
+                lags = int(rec["lags"])
                 weights = 1 - np.arange(1, lags + 1) / (lags + 1)
                 s_hat = (sums[0] + 2 * weights @ sums[1:lags + 1]) / n
                 stat = rec["ss"] / n**2 / s_hat
@@ -194,15 +196,17 @@ def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0
     return cov.mapInPandas(run, f"{fields}, lags int, {RESULT}")
 
 
-def _bandwidth(n: int, sums: np.ndarray) -> int:
-    s0, s1 = sums[0] / n, 0.0
-    for i in range(1, int(n ** (2 / 9)) + 1):
-        product = sums[i] / (n / 2)
-        s0, s1 = s0 + product, s1 + i * product
-    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
-    if lags >= len(sums):
-        raise ValueError(f"bandwidth {lags} needs more autocovariances than {len(sums) - 1}")
-    return lags
+def _bandwidth_column(short: int) -> Column:
+    """Automatic lag order from the columns ``n`` and ``gamma``."""
+    n = F.col("n").cast("double")
+    used = F.floor(F.pow(n, F.lit(2 / 9)))
+    s0, s1 = F.col("gamma")[0], F.lit(0.0)
+    for i in range(1, short + 1):
+        term = F.when(used >= i, 2 * F.col("gamma")[i]).otherwise(0.0)
+        s0, s1 = s0 + term, s1 + i * term
+    ratio = s1 / F.nullif(s0, F.lit(0.0))
+    lags = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3)))
+    return F.coalesce(F.least(lags, F.col("n") - 1), F.lit(0)).cast("int")
 
 
 # --- autocorrelation ----------------------------------------------------------
@@ -718,3 +722,31 @@ def lof(df: DataFrame, keys: Sequence[str], idx: str, value: str, k: int = 20) -
     third = nearest(second, ["lrd"])
     factor = mean(F.transform("__near", lambda s: s["lrd"])) / F.col("lrd")
     return third.withColumn("lof", factor).drop("__near", "kdist", "lrd", "rank", "v")
+
+
+# --- the battery --------------------------------------------------------------
+
+
+def battery(
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, regressors: Sequence[str] = (),
+    tests: Sequence[str] | None = None,
+) -> DataFrame:
+    """The chosen tests as one long table (test, keys, statistic, p_value)."""
+    known: dict[str, Callable[[], DataFrame]] = {
+        "adf_d0": lambda: adf(df, keys, idx, value), "adf_d1": lambda: adf(df, keys, idx, value, 1),
+        "kpss_d0": lambda: kpss(df, keys, idx, value), "kpss_d1": lambda: kpss(df, keys, idx, value, 1),
+        "jarque_bera": lambda: jarque_bera(df, keys, value), "dagostino_k2": lambda: dagostino_k2(df, keys, value),
+        "shapiro_wilk": lambda: shapiro_wilk(df, keys, value), "breusch_pagan": lambda: breusch_pagan(df, keys, idx, value),
+        "goldfeld_quandt": lambda: goldfeld_quandt(df, keys, idx, value), "arch_lm": lambda: arch_lm(df, keys, idx, value),
+        "ljung_box_10": lambda: ljung_box(df, keys, idx, value, [10]), "ljung_box_20": lambda: ljung_box(df, keys, idx, value, [20]),
+        "chow": lambda: chow(df, keys, idx, value, regressors),
+    }
+    chosen = list(tests) if tests is not None else [t for t in known if t != "chow" or regressors]
+    unknown = [t for t in chosen if t not in known]
+    if unknown:
+        raise ValueError(f"unknown tests {unknown}")
+    parts = [known[t]().select(F.lit(t).alias("test"), *keys, "statistic", "p_value") for t in chosen]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

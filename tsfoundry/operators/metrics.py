@@ -150,6 +150,24 @@ def hour_weekday_pivot(
     )
 
 
+def evaluation_table(
+    df: DataFrame, by: Sequence[str], periods: dict[str, Column], y: str = "y", yhat: str = "yhat",
+    base: str = "yhat_base",
+) -> DataFrame:
+    """Long (period, by, q, metric, value) over matched long forecasts.
+
+    A row belongs to every period whose condition holds, so one pass serves
+    all periods. Point errors are those of the median.
+    """
+    named = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in periods.items()]))
+    rows = df.select("*", F.explode(named).alias("period"))
+    keys = ["period", *by]
+    quantile = d2_pinball(rows, keys, y, yhat, base).select(*keys, "q", "pinball", "d2")
+    point = point_errors(rows.filter(F.col("q") == 0.5), keys, y, yhat).withColumn("q", F.lit(0.5))
+    long = quantile.unpivot([*keys, "q"], ["pinball", "d2"], "metric", "value")
+    return long.unionByName(point.unpivot([*keys, "q"], ["mae", "rmse", "mape"], "metric", "value"))
+
+
 def diebold_mariano_terms(
     y: str, a: str, b: str, loss: Callable[[Column, Column], Column] | None = None
 ) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsfoundry.operators.models.base import register
+
 DEFAULT_QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
 
 
@@ -32,6 +34,7 @@ def seasonal_quantiles(
     )
 
 
+@register("baseline")
 class SeasonalQuantile:
     """Observed values outside the forecast window, seasonal quantiles inside it."""
 

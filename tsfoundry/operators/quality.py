@@ -113,6 +113,24 @@ def zscore_outliers(
     return zscores(df, keys, column, ddof).filter(F.abs("z") > limit)
 
 
+def outliers(df: DataFrame, keys: Sequence[str], column: str, method: str = "iqr", ddof: int = 0) -> DataFrame:
+    if method == "iqr":
+        return iqr_outliers(df, keys, column)
+    if method == "zscore":
+        return zscore_outliers(df, keys, column, 3.0, ddof)
+    raise ValueError(f"unknown method {method!r}")
+
+
+def remove_outliers(df: DataFrame, keys: Sequence[str], column: str, method: str = "iqr", ddof: int = 0) -> DataFrame:
+    """The rows ``outliers`` does not return; a constant column loses no row."""
+    if method == "iqr":
+        return iqr_filter(df, keys, column)
+    if method == "zscore":
+        scored = zscores(df, keys, column, ddof)
+        return scored.filter(F.col("z").isNull() | (F.abs("z") <= 3.0)).drop("z")
+    raise ValueError(f"unknown method {method!r}")
+
+
 def residual_outliers(df: DataFrame, keys: Sequence[str], residual: str, limit: float = 3.0) -> DataFrame:
     """Rows whose uncentred residual exceeds ``limit`` sample deviations."""
     stats = df.groupBy(*keys).agg(F.stddev_samp(residual).alias("__s"))

@@ -244,21 +244,8 @@ def lof_outliers(spark, sf):
 @query("eda_report")
 def eda_report(spark, sf):
     """The battery as one long table (series, test, statistic, p_value)."""
-    panel = hourly(spark, sf)
-    x = daily_exog(spark, sf)
-    tests = {
-        "adf_d0": hy.adf(panel, KEY, "idx", "y"), "kpss_d0": hy.kpss(panel, KEY, "idx", "y"),
-        "jarque_bera": hy.jarque_bera(panel, KEY, "y"), "dagostino_k2": hy.dagostino_k2(panel, KEY, "y"),
-        "shapiro_wilk": hy.shapiro_wilk(panel, KEY, "y"), "breusch_pagan": hy.breusch_pagan(panel, KEY, "idx", "y"),
-        "goldfeld_quandt": hy.goldfeld_quandt(panel, KEY, "idx", "y"), "arch_lm": hy.arch_lm(panel, KEY, "idx", "y"),
-        "chow": hy.chow(x, KEY, "idx", "y", X),
-    }
-    parts = [df.select(F.lit(t).alias("test"), "series_id", "statistic", "p_value") for t, df in tests.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    lb = hy.ljung_box(panel, KEY, "idx", "y", [10, 20])
-    return out.unionByName(lb.select(F.concat(F.lit("ljung_box_"), F.col("lags").cast("string")).alias("test"), "series_id", "statistic", "p_value"))
+    own = hy.battery(hourly(spark, sf), KEY, "idx", "y")
+    return own.unionByName(hy.battery(daily_exog(spark, sf), KEY, "idx", "y", X, tests=["chow"]))
 
 
 @query("evaluation_report", sql=FCB + f""", j AS (SELECT f.*, b.yhat AS yb{_JOIN}),
@@ -268,20 +255,10 @@ SELECT period, series_id, q, 'pinball' AS metric, round(a, 6) + 0.0 AS value FRO
 UNION ALL SELECT period, series_id, 0.5::DOUBLE, 'mae', round(avg(abs(yhat - y)), 6) + 0.0 FROM p WHERE q = 0.5 GROUP BY 1, 2
 UNION ALL SELECT period, series_id, 0.5::DOUBLE, 'rmse', round(sqrt(avg(pow(yhat - y, 2))), 6) + 0.0 FROM p WHERE q = 0.5 GROUP BY 1, 2""")
 def evaluation_report(spark, sf):
-    """Every metric for both periods; periods are rows, so one pass serves both."""
-    both = compared(spark, sf)
-    period = F.explode(F.when(
-        F.weekday("ts").isin(4, 5), F.array(F.lit("overall"), F.lit("specific"))
-    ).otherwise(F.array(F.lit("overall"))))
-    rows = both.select("*", period.alias("period"))
-    by = ["period", "series_id"]
-    quantile = metrics.d2_pinball(rows, by).select(*by, "q", "pinball", "d2").unpivot(
-        [*by, "q"], ["pinball", "d2"], "metric", "value"
-    )
-    point = metrics.point_errors(rows.filter(F.col("q") == 0.5), by, "y", "yhat").withColumn("q", F.lit(0.5)).unpivot(
-        [*by, "q"], ["mae", "rmse"], "metric", "value"
-    )
-    return quantile.unionByName(point).select("period", "series_id", "q", "metric", rnd("value").alias("value"))
+    """Every metric for both periods."""
+    periods = {"overall": F.lit(True), "specific": F.weekday("ts").isin(4, 5)}
+    out = metrics.evaluation_table(compared(spark, sf), KEY, periods).filter(F.col("metric") != "mape")
+    return out.select("period", "series_id", "q", "metric", rnd("value").alias("value"))
 
 
 @query("bds_test")
