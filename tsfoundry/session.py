@@ -35,8 +35,9 @@ def get_spark(app: str = "tsfoundry", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where the setting is absent, which is the
-    case in local tests.
+    A folder of our own is used only where the setting is absent and the master
+    is local; a cluster without the setting is an error, since its machines
+    would each write to a disk of their own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="tsfoundry-")
     spark.sparkContext.setCheckpointDir(made)
     return made
