@@ -71,10 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose row stays, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows
+    """The documents whose row stays, with all their columns; of rows of equal id and text one."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    marked = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    rows = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (F.col("__own") == F.col("__sha")), "left_semi")
+    one = Window.partitionBy(id_col, "__own").orderBy(F.length(text_col), text_col)
+    return rows.withColumn("__place", F.row_number().over(one)).where("__place = 1").drop("__own", "__place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsfoundry.llm.common import chunks, id_and_text, load, text_buffer, words
+from tsfoundry.llm.common import chunks, load, text_buffer, words
 from tsfoundry.session import configure
 
 NAME = "op1_language_id"
@@ -167,7 +167,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarra
     return path
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, lang_pred, score, spans`` of every whole text.
 
     ``spans`` are the runs of words of one language: ``lang``, the first word's
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     their length) is the prediction, its share of them the score; ties go to the
     first name. A null text, or one without letters, is ``und`` with score 0 and
     no spans, and so is every text of a model that knows no language. Rows are
-    independent; other columns are ignored.
+    independent. The columns ``rest`` return in a struct of that name, others
+    are ignored.
     """
     span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -183,10 +184,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         names = np.array([*model.langs, "und"])
         width = len(model.langs)
         for b in chunks(batches):
-            n = b.num_rows
+            n, own = b.num_rows, b.columns[2:]
             codes, distinct, off = words(b.column(1))
             if not width or not len(codes):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([[]] * n, span)], ["id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([[]] * n, span), *own], names_out)
                 continue
             scores, script = word_scores(distinct, model)
             weight = np.where(script >= 0, pc.utf8_length(distinct).to_numpy(zero_copy_only=False), 0)[codes]
@@ -201,10 +202,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             stop = np.minimum(np.append(edge[1:], len(path)), off[row[edge] + 1])
             bounds = np.searchsorted(row[edge], np.arange(n + 1)).astype(np.int32)
             values = pa.StructArray.from_arrays([pa.array(names[path[edge]]), pa.array((edge - off[row[edge]]).astype(np.int32)), pa.array((stop - edge).astype(np.int32))], ["lang", "first_word", "n_words"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[top]), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds), values)], ["id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[top]), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds), values), *own], names_out)
 
     schema = "id long, lang_pred string, score double, spans array<struct<lang: string, first_word: int, n_words: int>>"
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    names_out = ["id", "lang_pred", "score", "spans", *(["rest"] if rest else [])]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text, *([F.struct(*rest).alias("rest")] if rest else []))
+    if rest:
+        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that have a language with at least LEAST_SHARE of their words."""
+    named = identify(docs, model, id_col, text_col, tuple(docs.columns))
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("rest.*")
+
+
 
 
 def remainder(id_col: str, of: int) -> F.Column:

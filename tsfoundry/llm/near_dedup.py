@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsfoundry.llm.common import chunks, id_and_text, load, ranges, words
@@ -306,6 +306,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id").isNull() | (F.col("id") == comp)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stand for their components, one row for each id; rows without an id stay."""
+    kept = near_dedup(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    rows = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left_semi")
+    one = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = rows.withColumn("__place", F.row_number().over(one)).where("__place = 1").drop("__place")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(load(configure(spark), sf_dir, "documents"))
 
