@@ -22,7 +22,7 @@ ORACLE = None
 
 _MARK = "\ue000"
 #: Bytes of text whose distinct pieces share one pair index.
-INDEX_BYTES = 12 << 20
+INDEX_BYTES = 6 << 20
 
 # White space as the tokenizer's pattern means it, and the pattern. Fixed values.
 _SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
