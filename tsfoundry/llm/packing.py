@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,8 +161,9 @@ def pack(tokens: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     Only the histogram of lengths and each partition's share of it leave the
     tasks; the places of the configurations return as a table of runs, whose
     size depends on the capacity alone. Rows of one length are interchangeable,
-    so a row's place is its number among those of its length. Sequences have no
-    gaps; an empty table gives no rows; a length outside the range is an error.
+    so a row's place is its number among those of its length; columns must be of
+    kinds that can be sorted, which makes a repeated task give the same places.
+    Sequences have no gaps; an empty table gives no rows; a length outside the range is an error.
     """
     rows = cut_lineage(tokens.withColumn("__part", F.spark_partition_id()))
     own = rows.groupBy("__part", length_col).agg(F.count(F.lit(1)).alias("n"))
@@ -178,39 +180,27 @@ def pack(tokens: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
         return group.assign(before=group["n"].cumsum() - group["n"])[["__part", length_col, "before"]]
 
     starts = own.groupBy(length_col).applyInPandas(before, f"__part int, `{length_col}` long, before long")
-    starts = starts.groupBy("__part").agg(F.map_from_entries(F.collect_list(F.struct(length_col, "before"))).alias("__before"))  # at most ``capacity`` entries a row
     key = table["length"] * (1 << 40) + table["first"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for b in batches:
-            part = b.column(names.index("__part")).to_numpy(zero_copy_only=False)
-            n = b.column(names.index(length_col)).to_numpy(zero_copy_only=False).astype(np.int64)
-            k = np.zeros(len(n), np.int64)
-            maps = b.column(names.index("__before"))
-            for p in np.unique(part).tolist():
-                at = np.flatnonzero(part == p)
-                if p not in seen:
-                    start = np.zeros(capacity + 1, np.int64)
-                    for m, v in maps[int(at[0])].as_py():
-                        start[m] = v
-                    seen[p] = start
-                order = np.argsort(n[at], kind="stable")
-                sizes = n[at][order]
-                first = np.searchsorted(sizes, sizes, side="left")
-                k[at[order]] = seen[p][sizes] + np.arange(len(at)) - first
-                seen[p] += np.bincount(sizes, minlength=capacity + 1)
-            run = np.searchsorted(key, n * (1 << 40) + k, side="right") - 1
-            inside = k - table["first"][run]
-            sequence = table["sequence"][run] + inside // table["copies"][run]
-            offset = table["offset"][run] + inside % table["copies"][run] * n
-            keep = [i for i, c in enumerate(names) if c not in ("__part", "__before")]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(sequence), pa.array(offset)], [*[names[i] for i in keep], "sequence_id", "offset"])
-
-    numbered = rows.join(starts, "__part").repartition("__part").sortWithinPartitions("__part", *tokens.columns)
-    names = numbered.columns
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name not in ("__part", "__before")]
-    return numbered.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    names = tokens.columns
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema]
+
+    def place(group: pa.Table, first_of: pa.Table) -> pa.Table:
+        group = group.drop_columns("__part").combine_chunks()
+        group = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in names])) if group.num_rows else group
+        n = group[length_col].to_numpy().astype(np.int64)
+        start = np.zeros(capacity + 1, np.int64)
+        start[first_of[length_col].to_numpy().astype(np.int64)] = first_of["before"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        k = np.zeros(len(n), np.int64)
+        k[order] = start[n[order]] + np.arange(len(n)) - np.searchsorted(n[order], n[order])
+        run = np.searchsorted(key, n * (1 << 40) + k, side="right") - 1
+        inside = k - table["first"][run]
+        sequence = table["sequence"][run] + inside // table["copies"][run]
+        offset = table["offset"][run] + inside % table["copies"][run] * n
+        return pa.table([*group.columns, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    placed = rows.groupBy("__part").cogroup(starts.groupBy("__part"))
+    return placed.applyInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
