@@ -26,7 +26,7 @@ _LOW = np.uint64((1 << 20) - 1)
 #: An anchor with more fragments is dealt string by string.
 HOT_FRAGMENTS = 20_000
 #: Bytes of fragments that share one suffix array.
-ARRAY_BYTES = 6 << 20
+ARRAY_BYTES = 3 << 20
 #: Rows of one id are told apart by this distance between their starts.
 ROW_STRIDE = 1 << 36
 NO_ID = (1 << 63) - 1
@@ -171,19 +171,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of their texts, null ids come last. Null, empty and short texts
     lose nothing. Other columns are ignored; an empty table gives no rows.
     """
-    parts = 2 * partitions(docs)
+    shards = partitions(docs)
+    parts = 4 * shards  # groups of documents; each sends at most one row to a shard
     own = [F.struct(*rest).alias("rest")] if rest else []
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
     texts = texts.select(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("text"))), F.lit(parts)).cast("int").alias("part"), "id", "text", *(["rest"] if rest else []))
 
     def send_anchors(table: pa.Table) -> pa.Table:
+        _give_back()
         part = table["part"][0].as_py()
         _, _, text, _ = ordered(table)
         _, _, h = anchors(*text_buffer(text))
         h, n = np.unique(h, return_counts=True)
-        bucket = (h % np.uint64(parts)).astype(np.int64)
+        bucket = (h % np.uint64(shards)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(parts + 1))
+        edge = np.searchsorted(bucket[order], np.arange(shards + 1))
         rows = [(k, part, _blob(h[order[a:b]]), _blob(n[order[a:b]].astype(np.uint32))) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
         return pa.table(dict(zip(("bucket", "part", "hashes", "counts"), zip(*rows)))).cast(_ANCHORS) if rows else _ANCHORS.empty_table()
 
@@ -201,6 +203,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(dict(zip(("part", "repeated", "hot"), zip(*rows)))).cast(_REPEATED) if rows else _REPEATED.empty_table()
 
     def send_fragments(table: pa.Table, replies: pa.Table) -> pa.Table:
+        _give_back()
         if not table.num_rows or not replies.num_rows:
             return _FRAGMENTS.empty_table()
         part = table["part"][0].as_py()
@@ -220,19 +223,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         doc, place = ids[row], start - off[row] + number[row] * ROW_STRIDE
         code, content = distinct_strings(raw, start, size + LENGTH - 1)
         one = earliest(code, doc, place)  # of copies within this group of documents the first
-        shard = (h[one] % np.uint64(parts)).astype(np.int64)
+        shard = (h[one] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(parts + 1))
+        edge = np.searchsorted(shard[order], np.arange(shards + 1))
         rows = []
         for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
             if b > a:
                 own = one[order[a:b]]
                 data, _ = text_buffer(content.take(pa.array(code[own])))
                 rows.append((k, part, _blob(h[own]), _blob(doc[own]), _blob(place[own]), _blob(size[own].astype(np.int16)), _blob(data), b""))
-        rows.append((part % parts, part, b"", b"", b"", b"", b"", _blob(np.stack(flagged))))  # what this group must look at again
+        rows.append((part % shards, part, b"", b"", b"", b"", b"", _blob(np.stack(flagged))))  # what this group must look at again
         return pa.table(dict(zip(_FRAGMENTS.names, zip(*rows)))).cast(_FRAGMENTS)
 
     def sort_shard(table: pa.Table) -> pa.Table:
+        _give_back()
         source, hs, docs_, places, sizes, datas, rows = [], [], [], [], [], [], []
         for part, h, doc, place, size, data, flagged in zip(*(table[c].to_pylist() for c in _FRAGMENTS.names[1:])):
             if flagged:
@@ -281,30 +285,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(dict(zip(_FIRSTS.names, zip(*rows)))).cast(_FIRSTS) if rows else _FIRSTS.empty_table()
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
+        _give_back()
         if not table.num_rows:
             return _KEPT.empty_table()
         ids, number, text, by_id = ordered(table)
         raw, off = text_buffer(text)
         n = len(ids)
-        again = np.zeros(len(raw) + 1, np.int64)
+        again = np.zeros(len(raw) + 1, np.int32)
         for x in found["flagged"].to_pylist() if found.num_rows else []:
             if x:
                 start, size = np.frombuffer(x, np.int64).reshape(2, -1)
                 again[start] += 1
                 again[start + size] -= 1
-        again = np.cumsum(again[:-1]) > 0
+        again = np.cumsum(again[:-1], dtype=np.int32) > 0
         for doc, run in zip(found["doc"].to_pylist(), found["run"].to_pylist()) if found.num_rows else []:
             if doc:
                 doc = np.frombuffer(doc, np.int64)
                 place, size = np.frombuffer(run, np.int64).reshape(2, -1)
                 row = np.searchsorted(ids, doc) + place // ROW_STRIDE
                 again[ranges(off[row] + place % ROW_STRIDE, size)] = False
-        cover = np.zeros(len(raw) + 1, np.int64)
+        cover = np.zeros(len(raw) + 1, np.int32)
         at = np.flatnonzero(again)
         cover[at] += 1
         cover[at + LENGTH] -= 1
-        gone = np.cumsum(cover[:-1]) > 0
-        row = np.repeat(np.arange(n), np.diff(off))
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
         edge = np.concatenate(([True], row[1:] != row[:-1])) if len(raw) else np.zeros(0, bool)
         begins = np.flatnonzero(gone & (edge | ~np.concatenate(([False], gone[:-1])))) if len(raw) else np.zeros(0, np.int64)
         stops = np.flatnonzero(gone & (np.append(edge[1:], True) | ~np.append(gone[1:], False))) + 1 if len(raw) else np.zeros(0, np.int64)
@@ -327,6 +332,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
+def _give_back() -> None:
+    """Memory that Arrow holds from the last group goes back to the system; a worker serves many groups."""
+    pa.default_memory_pool().release_unused()
+
+
 def _isin(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(h), bool)
