@@ -108,7 +108,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=16 << 20):
+        for b in chunks(batches, limit=6 << 20):
             lang = b.column(1).dictionary_encode()
             of = lang.indices.to_numpy(zero_copy_only=False)
             codes, distinct, off = words(pc.ascii_lower(b.column(0)))
