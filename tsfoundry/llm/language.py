@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsfoundry.llm.common import chunks, load, text_buffer, words
+from tsfoundry.llm.common import chunks, load, ranges, text_buffer, words
 from tsfoundry.session import configure
 
 NAME = "op1_language_id"
@@ -24,6 +24,9 @@ SMOOTHING = 0.5
 #: A word may favour a language over the worst by so much, and a switch of language costs so much (natural logarithms).
 MOST_PER_WORD = 6.0
 SWITCH = 9.0
+#: Words of a block that the Viterbi search takes in one go, more where its blocks would hold over so many pairs of states.
+BLOCK = 64
+BLOCK_CELLS = 1 << 22
 #: A language is a candidate for a script that has this share of its letters.
 LEAST_SCRIPT_SHARE = 0.01
 #: A text with a smaller share of its main language is rejected as a document of one language.
@@ -135,30 +138,59 @@ def word_scores(distinct: pa.Array, model: LanguageModel) -> tuple[np.ndarray, n
 def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarray:
     """The best language of each word, rows end to end, when each change of language costs ``switch``.
 
-    All rows advance together, longest first, so a step is one array operation.
+    Rows are cut into blocks that advance together, so a step is one array
+    operation over all blocks and a long row takes as many steps as a block has
+    words, and one for each of its blocks: what a block does to every state
+    before it is found first, then the states at the borders, then the words.
     """
-    length = np.diff(offsets)
+    n_words, width = scores.shape
+    if not n_words:
+        return np.zeros(0, np.int64)
+    size = max(BLOCK, -(-n_words * width * width // BLOCK_CELLS))
+    per_row = -(-np.diff(offsets) // size)
+    row_block = np.concatenate(([0], np.cumsum(per_row)))
+    first = ranges(np.zeros(len(per_row), np.int64), per_row) * size + np.repeat(offsets[:-1], per_row)
+    length = np.minimum(np.repeat(offsets[1:], per_row) - first, size)
+    # Longest blocks first: those with a word t are the leading active[t].
     order = np.argsort(-length, kind="stable")
-    first, size = offsets[:-1][order], length[order]
-    active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
-    back = np.zeros(scores.shape, np.int8 if scores.shape[1] < 128 else np.int16)
-    own = np.arange(scores.shape[1])
-    d = np.zeros((len(order), scores.shape[1]), np.float32)
-    best = np.zeros(len(order), np.int64)
-    for t, n in enumerate(active.tolist()):
-        at = first[:n] + t
-        d = d[:n]
-        if t:
-            top = d.argmax(axis=1)
-            rival = d[np.arange(n), top][:, None] - switch
-            stay = d >= rival
-            back[at] = np.where(stay, own, top[:, None])
-            d = np.where(stay, d, rival)
-        d = d + scores[at]
-        ends = int(active[t + 1]) if t + 1 < len(active) else 0
-        best[ends:n] = d[ends:n].argmax(axis=1)
-    path = np.zeros(len(scores), np.int64)
-    state = best
+    first, own = first[order], np.arange(width)
+    active = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right").tolist()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rows = np.argsort(-per_row, kind="stable")
+    chained = np.searchsorted(-per_row[rows], -np.arange(1, per_row.max() + 1), side="right").tolist()
+
+    start = np.zeros((len(order), width))
+    last = np.zeros((len(per_row), width))
+    if len(chained) > 1:
+        whole = np.where(np.eye(width, dtype=bool), 0.0, -np.inf)[None].repeat(len(order), axis=0)
+        for t, n in enumerate(active):
+            d = whole[:n]
+            whole[:n] = np.maximum(d, d.max(axis=2, keepdims=True) - switch) + scores[first[:n] + t][:, None, :]
+        for i, n in enumerate(chained):
+            at = rank[row_block[rows[:n]] + i]
+            start[at] = last[rows[:n]]
+            last[rows[:n]] = (start[at][:, :, None] + whole[at]).max(axis=1)
+    back = np.zeros(scores.shape, np.int8 if width < 128 else np.int16)
+    d = start.copy()
+    before = np.tile(own, (len(order), 1))
+    for t, n in enumerate(active):
+        top = d[:n].argmax(axis=1)
+        rival = d[np.arange(n), top][:, None] - switch
+        stay = d[:n] >= rival
+        came = np.where(stay, own, top[:, None])
+        back[first[:n] + t] = came
+        before[:n] = np.take_along_axis(before[:n], came, axis=1)
+        d[:n] = np.where(stay, d[:n], rival) + scores[first[:n] + t]
+
+    state = np.zeros(len(order), np.int64)
+    for i in range(len(chained) - 1, -1, -1):
+        own_rows = rows[: chained[i]]
+        at = rank[row_block[own_rows] + i]
+        ends = per_row[own_rows] == i + 1
+        after = rank[np.minimum(row_block[own_rows] + i + 1, len(order) - 1)]
+        state[at] = np.where(ends, d[at].argmax(axis=1), before[after, state[after]])
+    path = np.zeros(n_words, np.int64)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = first[:n] + t
