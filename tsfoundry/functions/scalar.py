@@ -17,13 +17,13 @@ def dms_to_decimal(degrees: Column | str, minutes: Column | str) -> Column:
 
 
 def duration_seconds(text: Column | str) -> Column:
-    """'125W', '10D' or '5H' in seconds; an unknown unit fails the query."""
+    """'125W', '10D' or '5H' in seconds; an unknown unit, or a number beyond 64 bits, fails the query."""
     t = _col(text)
     number = F.regexp_extract(t, r"^(\d+)[WDH]$", 1)
     unit = F.regexp_extract(t, r"^\d+([WDH])$", 1)
     factor = F.when(unit == "W", WEEK).when(unit == "D", DAY).when(unit == "H", HOUR)
     bad = F.raise_error(F.concat(F.lit("invalid duration: "), t)).cast("bigint")
-    return F.when(unit == "", bad).otherwise(F.try_to_number(number, F.lit("999999999")).cast("bigint") * factor)
+    return F.when(unit == "", bad).otherwise(F.coalesce(number.try_cast("bigint"), bad) * factor)
 
 
 def duration_interval(text: Column | str) -> Column:

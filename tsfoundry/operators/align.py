@@ -151,6 +151,13 @@ def holiday_table(spark, first_year: int, last_year: int) -> DataFrame:
     return years.select(F.explode(both).alias("holiday")).distinct()
 
 
+def holidays_around(df: DataFrame, ts: str) -> DataFrame:
+    """Holidays of the years of ``ts`` and of one year before and after; none for an empty table."""
+    span = df.agg(F.year(F.min(ts)).alias("lo"), F.year(F.max(ts)).alias("hi")).first()
+    first, last = (span.lo - 1, span.hi + 1) if span.lo is not None else (1, 0)
+    return holiday_table(df.sparkSession, first, last)
+
+
 def easter_sunday(year: Column) -> Column:
     """Gregorian Easter by the anonymous computus, in integer arithmetic."""
 

@@ -188,8 +188,9 @@ def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0
                 lags = int(rec["lags"])
                 weights = 1 - np.arange(1, lags + 1) / (lags + 1)
                 s_hat = (sums[0] + 2 * weights @ sums[1:lags + 1]) / n
-                stat = rec["ss"] / n**2 / s_hat
-                p = mathx.interpolate(stat, _KPSS_CRIT, _KPSS_P)
+                # a constant series has no answer
+                stat = rec["ss"] / n**2 / s_hat if s_hat > 0 else None
+                p = None if stat is None else mathx.interpolate(stat, _KPSS_CRIT, _KPSS_P)
                 rows.append({**{k: rec[k] for k in keys}, "lags": lags, "statistic": stat, "p_value": p})
             yield pd.DataFrame(rows, columns=[*keys, "lags", "statistic", "p_value"])
 
@@ -265,9 +266,9 @@ def jarque_bera(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def dagostino_k2(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Omnibus test from the normalised skewness and kurtosis (n >= 8)."""
+    """Omnibus test from the normalised skewness and kurtosis ; null below eight rows."""
     s = df.groupBy(*keys).agg(F.count(value).alias("cnt"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
-    s = s.withColumn("n", F.col("cnt").cast("double"))
+    s = s.withColumn("n", F.when(F.col("cnt") >= 8, F.col("cnt").cast("double")))
     n = F.col("n")
     y = F.col("skew") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
@@ -281,7 +282,7 @@ def dagostino_k2(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
     denominator = 1 + x * F.sqrt(2 / (a - 4))
-    term = F.signum(denominator) * F.pow((1 - 2 / a) / F.abs(denominator), F.lit(1 / 3))
+    term = F.signum(denominator) * F.pow((1 - 2 / a) / F.nullif(F.abs(denominator), F.lit(0.0)), F.lit(1 / 3))
     z_kurt = (1 - 2 / (9 * a) - term) / F.sqrt(2 / (9 * a))
     out = s.withColumn("z_skew", z_skew).withColumn("z_kurt", z_kurt)
     out = out.withColumn("statistic", F.col("z_skew") ** 2 + F.col("z_kurt") ** 2)
@@ -296,7 +297,7 @@ def anderson_darling(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
     ranked = attach(value_cumcounts(df, keys, value), stats, keys, spread=["below"])
-    z = (F.col("v") - F.col("__m")) / F.col("__s")
+    z = (F.col("v") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))
     # the upper tail is taken from the mirrored argument, not from 1 - cdf
     low, high = F.log(norm_cdf(z)), F.log(norm_cdf(-z))
     a, c, n = F.col("below"), F.col("c"), F.col("n")
@@ -356,7 +357,7 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     score_edge = [F.max(F.when(rank == n - k, m)).alias(f"m{k}") for k in (0, 1)]
     inner = (rank > 2) & (rank < n - 1)
     sums = s.groupBy(*keys, "n").agg(
-        F.sum(m * m).alias("mm"), F.sum(F.when(inner, m * F.col("v"))).alias("mx"),
+        F.nullif(F.sum(m * m), F.lit(0.0)).alias("mm"), F.sum(F.when(inner, m * F.col("v"))).alias("mx"),
         F.var_samp("v").alias("var"), *edge, *score_edge,
     )
     u = 1 / F.sqrt(F.col("n").cast("double"))
@@ -375,7 +376,7 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.col("an") * (F.col("hi0") - F.col("lo0")) + F.col("an1") * (F.col("hi1") - F.col("lo1"))
         + F.col("mx") / F.sqrt(phi)
     )
-    w = top * top / (F.col("var") * (F.col("n") - 1))
+    w = top * top / F.nullif(F.col("var") * (F.col("n") - 1), F.lit(0.0))
     ln = F.log(F.col("n").cast("double"))
     mu, sigma = poly(ln, _ROYSTON_MU, None), F.exp(poly(ln, _ROYSTON_SIGMA, None))
     z = (F.log(1 - F.col("statistic")) - mu) / sigma
@@ -402,12 +403,12 @@ def goldfeld_quandt(df: DataFrame, keys: Sequence[str], idx: str, value: str) ->
         F.count(F.lit(1)).alias("k"), F.sum(F.col(value) ** 2).alias("yy"),
         F.sum(F.col("t") * F.col(value)).alias("ty"), F.sum(F.col("t") ** 2).alias("tt"),
     )
-    mse = (F.col("yy") - F.col("ty") ** 2 / F.col("tt")) / (F.col("k") - 1)
+    mse = (F.col("yy") - F.col("ty") ** 2 / F.nullif(F.col("tt"), F.lit(0.0))) / F.nullif(F.col("k") - 1, F.lit(0))
     row = sums.groupBy(*keys).agg(
         F.max(F.when(F.col("half") == 1, mse)).alias("b"), F.max(F.when(F.col("half") == 0, mse)).alias("a"),
         F.max(F.when(F.col("half") == 1, F.col("k") - 1)).alias("d1"), F.max(F.when(F.col("half") == 0, F.col("k") - 1)).alias("d2"),
     )
-    stat = row.withColumn("statistic", F.col("b") / F.col("a"))
+    stat = row.withColumn("statistic", F.col("b") / F.nullif(F.col("a"), F.lit(0.0)))
     return stat.withColumn("p_value", f_p("statistic", F.col("d1").cast("double"), F.col("d2").cast("double"))).select(*keys, "statistic", "p_value")
 
 
@@ -608,7 +609,7 @@ def f_regression(df: DataFrame, keys: Sequence[str], target: str, features: Sequ
     row = df.groupBy(*keys).agg(F.count(target).alias("n"), *[F.corr(c, target).alias(c) for c in features])
     long = row.unpivot([*keys, "n"], list(features), "feature", "r")
     r2 = F.col("r") * F.col("r")
-    out = long.withColumn("statistic", r2 / (1 - r2) * (F.col("n") - 2))
+    out = long.withColumn("statistic", r2 / F.nullif(1 - r2, F.lit(0.0)) * (F.col("n") - 2))
     return out.withColumn("p_value", f_p("statistic", F.lit(1.0), (F.col("n") - 2).cast("double"))).select(*keys, "feature", "statistic", "p_value")
 
 
@@ -673,7 +674,7 @@ def diebold_mariano(
     s = df.filter(d.isNotNull()).groupBy(*by).agg(
         F.avg(d).alias("m"), F.var_samp(d).alias("v"), F.count(F.lit(1)).alias("n")
     )
-    stat = s.withColumn("statistic", F.col("m") / F.sqrt(F.col("v") / F.col("n")))
+    stat = s.withColumn("statistic", F.col("m") / F.nullif(F.sqrt(F.col("v") / F.col("n")), F.lit(0.0)))
     df_t = (F.col("n") - 1).cast("double")
     p = {
         "two-sided": lambda: t_p("statistic", df_t),

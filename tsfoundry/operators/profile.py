@@ -72,23 +72,28 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Counts per equal-width bin between minimum and maximum, the last bin closed."""
+    """Counts per equal-width bin between minimum and maximum, the last bin closed.
+
+    Nulls are not counted; a constant column is all in the first bin.
+    """
+    df = df.filter(F.col(value).isNotNull())
     span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
-    slot = F.least(F.floor((F.col(value) - F.col("__lo")) / width).cast("int"), F.lit(bins - 1))
+    step = F.coalesce((F.col(value) - F.col("__lo")) / F.nullif(width, F.lit(0.0)), F.lit(0.0))
+    slot = F.least(F.floor(step).cast("int"), F.lit(bins - 1))
     joined = df.select(value).crossJoin(F.broadcast(span))  # one row
     return joined.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kde(df: DataFrame, value: str, points: int, cut: float = 3.0) -> DataFrame:
-    """Gaussian density on a grid, Scott bandwidth.
+    """Gaussian density on a grid, Scott bandwidth; a constant column has a null density.
 
     Equal values are counted first. Each of them adds to every grid point
     within its own stage, so only the grid's sums are shuffled.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     stats = df.agg(
-        (F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2))).alias("h"),
+        F.nullif(F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2)), F.lit(0.0)).alias("h"),
         F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"),
     )
     joined = counts.crossJoin(F.broadcast(stats))  # one row

@@ -128,7 +128,7 @@ def calendar_reindex(spark, sf):
 
 #: German national holidays for the span of the orders table, as a SQL table.
 HOLIDAYS = """
-yr AS (SELECT unnest(generate_series(1994, 2002)) AS y),
+yr AS (SELECT unnest(generate_series((SELECT year(min(ts)) - 1 FROM daily), (SELECT year(max(ts)) + 1 FROM daily))) AS y),
 c1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM yr),
 c2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM c1),
 c3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM c2),
@@ -138,14 +138,11 @@ hol AS (SELECT DISTINCT unnest([make_date(y, 1, 1), make_date(y, 5, 1), make_dat
   make_date(y, 12, 26), easter - 2, easter + 1, easter + 39, easter + 50]) AS d FROM c5)"""
 
 
-def _holidays(spark):
-    return align.holiday_table(spark, 1994, 2002)
-
-
 @query("holiday_flag", sql=f"""WITH {DAILY}, {HOLIDAYS}
 SELECT series_id, ts, CASE WHEN d IS NULL THEN 0 ELSE 1 END AS is_holiday FROM daily LEFT JOIN hol ON d = CAST(ts AS DATE)""")
 def holiday_flag(spark, sf):
-    return align.holiday_flag(daily(spark, sf), _holidays(spark), "ts").select("series_id", "ts", "is_holiday")
+    panel = daily(spark, sf)
+    return align.holiday_flag(panel, align.holidays_around(panel, "ts"), "ts").select("series_id", "ts", "is_holiday")
 
 
 @query("holiday_proximity", sql=f"""WITH {DAILY}, {HOLIDAYS},
@@ -155,7 +152,8 @@ n AS (SELECT p.*, hol.d AS nxt FROM p ASOF LEFT JOIN hol ON p.day <= hol.d)
 SELECT series_id, ts, CAST(coalesce(day - prev, 0) AS INTEGER) AS days_since_holiday,
  CAST(coalesce(nxt - day, 0) AS INTEGER) AS days_until_holiday FROM n""")
 def holiday_proximity(spark, sf):
-    out = align.holiday_proximity(daily(spark, sf), _holidays(spark), "ts")
+    panel = daily(spark, sf)
+    out = align.holiday_proximity(panel, align.holidays_around(panel, "ts"), "ts")
     return out.select("series_id", "ts", "days_since_holiday", "days_until_holiday")
 
 
