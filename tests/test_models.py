@@ -109,7 +109,7 @@ def test_sequence_windows_count(series):
 
 
 def test_registries(series):
-    assert {"quantile_regression", "light_gbm"} <= set(base.REGISTRY)
+    assert {"quantile_regression", "quantile_gbt"} <= set(base.REGISTRY)
     with pytest.raises(ValueError):
         base.make("nothing")
     with pytest.raises(ValueError):

@@ -109,15 +109,28 @@ def other_quantiles(
     return to_long(wide, keep, {q: quantile_column(q) for q in expressions})
 
 
+def calendar_folds(folds: DataFrame) -> list[dict]:
+    """The rows of a fold table without keys, for ``rolling_cv``: one per week of the data."""
+    return [
+        {"fold": r["fold"], "train_end": str(r["fold_train_end"]), "test_start": str(r["test_start"]), "test_end": str(r["test_end"])}
+        for r in folds.orderBy("fold").collect()
+    ]
+
+
 def rolling_cv(
     df: DataFrame, folds: Sequence[dict], ts: str, make_model: Callable[[], object], parallelism: int = 4,
     kind: str = "expanding", train_hours: int | None = None,
+    score: Callable[[object, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Fit on every fold's training rows, forecast its test rows, union with ``fold``.
 
     ``folds`` are dicts (fold, train_end, test_start, test_end) on a common
-    calendar: a handful of rows. Fits run as concurrent Spark jobs.
+    calendar: a handful of rows. Fits run as concurrent Spark jobs. ``score``
+    maps a fitted model and test rows to forecasts, for example recursively;
+    the model's ``transform`` sees the observed lags.
     """
+    if not folds:
+        raise ValueError("no fold: the data end before the first test window does")
 
     def one(f: dict) -> DataFrame:
         t = F.col(ts)
@@ -127,7 +140,9 @@ def rolling_cv(
         test = df.filter(t.between(
             F.lit(f["test_start"]).cast("timestamp_ntz"), F.lit(f["test_end"]).cast("timestamp_ntz")
         ))
-        return make_model().fit(train).transform(test).withColumn("fold", F.lit(f["fold"]))
+        model = make_model().fit(train)
+        scored = score(model, test) if score else model.transform(test)
+        return scored.withColumn("fold", F.lit(f["fold"]))
 
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(one, folds))

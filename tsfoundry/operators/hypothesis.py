@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tsfoundry.functions import mathx
 from tsfoundry.functions.normal import norm_cdf, norm_ppf
 from tsfoundry.operators.chunking import over_chunks, row_numbers, running_sum
-from tsfoundry.operators.linalg import finish, gram, lag_gram, lagged, solve, unpack
+from tsfoundry.operators.linalg import centred_gram, finish, from_zero, gram, lag_gram, lagged, solve, unpack
 from tsfoundry.operators.lookup import INTEGRAL, attach
 from tsfoundry.operators.metrics import diebold_mariano_terms
 from tsfoundry.operators.quantiles import exact_quantiles, value_cumcounts
@@ -42,6 +42,18 @@ f_p = _p(mathx.f_sf)
 norm_two_sided_p = _p(lambda z: 2 * mathx.norm_sf(abs(z)))
 
 
+def ratio(a: float, b: float) -> float | None:
+    """``a / b``; null where a short or constant series leaves nothing to divide by."""
+    value = a / b if b > 0 else math.nan
+    return float(value) if math.isfinite(value) else None
+
+
+def f_test(bound: float, free: float, d1: int, d2: int) -> dict:
+    """Statistic and p-value of ``d1`` restrictions; nulls without degrees of freedom."""
+    stat = ratio((bound - free) / d1, free / d2) if d2 > 0 else None
+    return {"statistic": stat, "p_value": None if stat is None else mathx.f_sf(max(stat, 0.0), d1, d2)}
+
+
 def max_length(df: DataFrame, keys: Sequence[str]) -> int:
     """Length of the longest series: one number."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -139,6 +151,8 @@ def _adf_finish(m: np.ndarray, n: int, length: int, head: np.ndarray) -> dict:
     y_col = m.shape[0] - 1
     best = (math.inf, 0)
     for p in range(cap + 1):
+        if n < 1:
+            break
         _, _, ssr = solve(m, range(2 + p), y_col)
         k = 2 + p
         aic = n * math.log(max(ssr, 1e-300) / n) + 2 * k
@@ -155,8 +169,10 @@ def _adf_finish(m: np.ndarray, n: int, length: int, head: np.ndarray) -> dict:
         full += np.outer(line, line)
         rows += 1
     b, inv, ssr = solve(full, range(2 + p), y_col)
-    se = math.sqrt(ssr / (rows - 2 - p) * inv[0, 0])
-    tau = b[0] / se
+    error = ssr / (rows - 2 - p) * inv[0, 0] if rows > 2 + p else 0.0
+    if not error > 0:  # a short or constant series
+        return {"lags": p, "statistic": None, "p_value": None}
+    tau = b[0] / math.sqrt(error)
     return {"lags": p, "statistic": tau, "p_value": mackinnon_p(tau)}
 
 
@@ -266,7 +282,7 @@ def jarque_bera(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def dagostino_k2(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Omnibus test from the normalised skewness and kurtosis ; null below eight rows."""
+    """Omnibus test from the normalised skewness and kurtosis; null below eight rows."""
     s = df.groupBy(*keys).agg(F.count(value).alias("cnt"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
     s = s.withColumn("n", F.when(F.col("cnt") >= 8, F.col("cnt").cast("double")))
     n = F.col("n")
@@ -425,8 +441,9 @@ def arch_lm(df: DataFrame, keys: Sequence[str], idx: str, value: str, lags: int
     def result(m, n):
         _, _, ssr = solve(m, range(lags + 1), lags + 1)
         total = m[-1, -1] - m[0, -1] ** 2 / n
-        stat = n * (1 - ssr / total)
-        return {"statistic": stat, "p_value": mathx.chi2_sf(stat, lags)}
+        rest = ratio(ssr, total) if n > lags + 1 else None
+        stat = None if rest is None else n * (1 - rest)
+        return {"statistic": stat, "p_value": None if stat is None else mathx.chi2_sf(stat, lags)}
 
     return finish(lag_gram(c, keys, idx, ["q"], lags, design), keys, result, RESULT)
 
@@ -436,11 +453,12 @@ def chow(df: DataFrame, keys: Sequence[str], idx: str, target: str, regressors:
     d = trend(df, keys, idx)
     half = F.when(F.col("t") < F.floor(F.col("n") / 2), 0).otherwise(1)
     d = d.withColumn("half", half).drop("n")
-    cols = [F.lit(1.0), *[F.col(c) for c in regressors], F.col(target)]
-    parts = gram(d, [*keys, "half"], cols)
+    parts = centred_gram(d, [*keys, "half"], [*[F.col(c) for c in regressors], F.col(target)])
     both = parts.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.flatten(F.array_sort(F.collect_list("g"))).alias("g0"),
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("half", "n", "mean", "g"))).alias("__s"),
     )  # two matrices per key
+    each = both.select(*keys, "n", *[F.transform("__s", lambda x: x[c]).alias(c) for c in ("mean", "g")], F.transform("__s", lambda x: x["n"]).alias("size"))
+    each = each.select(*keys, "n", F.flatten("mean").alias("mean"), F.flatten("g").alias("g"), "size")
     fields = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys)
     k = len(regressors) + 1
 
@@ -449,15 +467,19 @@ def chow(df: DataFrame, keys: Sequence[str], idx: str, target: str, regressors:
             rows = []
             for r in pdf.itertuples(index=False):
                 rec = r._asdict()
-                g = np.asarray(rec["g0"], dtype=float).reshape(2, -1)
-                m1, m2 = unpack(g[0]), unpack(g[1])
-                ssr = [solve(m, range(k), k)[2] for m in (m1 + m2, m1, m2)]
-                pooled, n = ssr[1] + ssr[2], rec["n"]
-                stat = ((ssr[0] - pooled) / k) / (pooled / (n - 2 * k))
-                rows.append({**{c: rec[c] for c in keys}, "statistic": stat, "p_value": mathx.f_sf(stat, k, n - 2 * k)})
+                out = {"statistic": None, "p_value": None}
+                if len(rec["size"]) == 2:  # a single row has no first half
+                    g = np.asarray(rec["g"], dtype=float).reshape(2, -1)
+                    m1, m2 = unpack(g[0]), unpack(g[1])
+                    n1, n2 = (int(x) for x in rec["size"])
+                    gap = np.concatenate(([0.0], np.subtract(*np.asarray(rec["mean"], dtype=float).reshape(2, -1))))
+                    m = m1 + m2 + np.outer(gap, gap) * n1 * n2 / (n1 + n2)
+                    ssr = [solve(x, range(k), k)[2] for x in (m, m1, m2)]
+                    out = f_test(ssr[0], ssr[1] + ssr[2], k, n1 + n2 - 2 * k)
+                rows.append({**{c: rec[c] for c in keys}, **out})
             yield pd.DataFrame(rows, columns=[*keys, "statistic", "p_value"])
 
-    return both.select(*keys, "n", "g0").mapInPandas(run, f"{fields}, {RESULT}")
+    return each.mapInPandas(run, f"{fields}, {RESULT}")
 
 
 # --- relations between series -------------------------------------------------
@@ -481,9 +503,7 @@ def granger(df: DataFrame, keys: Sequence[str], idx: str, target: str, exog: Seq
             k = m.shape[0] - 1
             free = solve(m, range(k), k)[2]
             bound = solve(m, range(lags + 1), k)[2]
-            d2 = n - k
-            stat = (bound - free) / lags / (free / d2)
-            return {"statistic": stat, "p_value": mathx.f_sf(stat, lags, d2)}
+            return f_test(bound, free, lags, n - k)
 
         one = finish(lag_gram(c, keys, idx, ["y", "x"], lags, design), keys, result, RESULT)
         one = one.select(*keys, F.lit(var).alias("variable"), "statistic", "p_value")
@@ -537,41 +557,44 @@ def johansen(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str],
 
 def vif(df: DataFrame, keys: Sequence[str], cols: Sequence[str], add_const: bool = False) -> DataFrame:
     """Variance inflation of every column on the others, without constant by default."""
-    extra = [F.lit(1.0)] if add_const else []
-    names, shift = list(cols), len(extra)
+    names, shift = list(cols), int(add_const)
 
-    def result(m, n):
+    def result(m, n, mean=None):
         rows = []
         for i, name in enumerate(names):
             j = i + shift
             others = [q for q in range(m.shape[0]) if q != j]
             ssr = solve(m, others, j)[2]
-            total = m[j, j] - (m[0, j] ** 2 / n if add_const else 0.0)
-            rows.append({"feature": name, "vif": float(total / ssr) if ssr > 0 else float("inf")})
+            rows.append({"feature": name, "vif": float(m[j, j] / ssr) if ssr > 0 else float("inf")})
         return rows
 
-    return finish(gram(df, keys, [*extra, *[F.col(c) for c in cols]]), keys, result, "feature string, vif double")
+    grams = (centred_gram if add_const else gram)(df, keys, [F.col(c) for c in cols])
+    return finish(grams, keys, result, "feature string, vif double")
 
 
 def ols_summary(df: DataFrame, keys: Sequence[str], target: str, regressors: Sequence[str]) -> DataFrame:
-    """Coefficients with standard error, t, p; R2 and n repeated per row."""
+    """Coefficients with standard error, t, p; R2 and n repeated per row.
+
+    Without degrees of freedom the errors are null, with a constant target R2 is.
+    """
     names = ["const", *regressors]
     k = len(names)
 
-    def result(m, n):
+    def result(m, n, mean):
         b, inv, ssr = solve(m, range(k), k)
-        total = m[k, k] - m[0, k] ** 2 / n
-        s2 = ssr / (n - k)
+        b, inv = from_zero(b, inv, mean)
+        s2 = ssr / (n - k) if n > k else None
+        rest = ratio(ssr, m[k, k])
         rows = []
         for i, name in enumerate(names):
-            se = math.sqrt(max(s2 * inv[i, i], 0.0))
-            t = b[i] / se if se > 0 else float("nan")
-            rows.append({"term": name, "coef": float(b[i]), "se": se, "t": float(t),
-                         "p_value": mathx.t_two_sided(t, n - k) if t == t else None, "r2": float(1 - ssr / total), "n": n})
+            se = None if s2 is None else math.sqrt(max(s2 * inv[i, i], 0.0))
+            t = ratio(b[i], se) if se else None
+            rows.append({"term": name, "coef": float(b[i]), "se": se, "t": t,
+                         "p_value": None if t is None else mathx.t_two_sided(t, n - k), "r2": None if rest is None else 1 - rest, "n": n})
         return rows
 
-    cols = [F.lit(1.0), *[F.col(c) for c in regressors], F.col(target)]
-    return finish(gram(df, keys, cols), keys, result,
+    cols = [*[F.col(c) for c in regressors], F.col(target)]
+    return finish(centred_gram(df, keys, cols), keys, result,
                   "term string, coef double, se double, t double, p_value double, r2 double, n long")
 
 
@@ -593,16 +616,14 @@ def anova_nested(df: DataFrame, keys: Sequence[str], target: str, small: Sequenc
     added = [c for c in large if c not in small]
     order = [*small, *added]
 
-    def result(m, n):
+    def result(m, n, mean):
         k = len(order) + 1
         bound = solve(m, range(len(small) + 1), k)[2]
         free = solve(m, range(k), k)[2]
-        d1, d2 = len(added), n - k
-        stat = (bound - free) / d1 / (free / d2)
-        return {"ssr_small": bound, "ssr_large": free, "statistic": stat, "p_value": mathx.f_sf(stat, d1, d2)}
+        return {"ssr_small": bound, "ssr_large": free, **f_test(bound, free, len(added), n - k)}
 
-    cols = [F.lit(1.0), *[F.col(c) for c in order], F.col(target)]
-    return finish(gram(df, keys, cols), keys, result, f"ssr_small double, ssr_large double, {RESULT}")
+    cols = [*[F.col(c) for c in order], F.col(target)]
+    return finish(centred_gram(df, keys, cols), keys, result, f"ssr_small double, ssr_large double, {RESULT}")
 
 
 def f_regression(df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str]) -> DataFrame:

@@ -29,6 +29,32 @@ def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[Column]) -> DataFram
     return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
 
 
+def centred_gram(df: DataFrame, keys: Sequence[str], cols: Sequence[Column]) -> DataFrame:
+    """(keys, n, g, mean): cross products of a constant and the deviations of ``cols`` from their means.
+
+    For regressions with a constant: far from zero, the products of the columns
+    themselves lose the digits that matter. Covariances are added up stably and
+    in one pass. Rows with a null in any column are left out.
+    """
+    names = [f"__x{i}" for i in range(len(cols))]
+    known = df.select(*keys, *[c.cast("double").alias(n) for c, n in zip(cols, names)]).na.drop(subset=names)
+    n = F.count(F.lit(1))
+    products = [F.covar_pop(a, b) * n for i, a in enumerate(names) for b in names[i:]]
+    constant = [n.cast("double"), *[F.lit(0.0) for _ in names]]
+    return known.groupBy(*keys).agg(n.alias("n"), F.array(*constant, *products).alias("g"), F.array(*[F.avg(c) for c in names]).alias("mean"))
+
+
+def from_zero(b: np.ndarray, inv: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and inverse matrix of a regression on deviations, with the constant of the columns themselves.
+
+    ``mean`` holds the means of the regressors, then of the target.
+    """
+    b, inv, x = b.copy(), inv.copy(), mean[: len(b) - 1]
+    b[0] += mean[-1] - b[1:] @ x
+    inv[0, 0] += x @ inv[1:, 1:] @ x
+    return b, inv
+
+
 def lag_gram(
     df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], lookback: int,
     design: Callable[[dict[str, np.ndarray]], np.ndarray],
@@ -37,7 +63,7 @@ def lag_gram(
 
     ``design`` maps the column arrays of one ordered chunk (halo included) to
     a matrix with one line per row; lines holding NaN are left out. Partial
-    matrices per (key, chunk) are added up per key, one per 4096 or more rows.
+    matrices per (key, chunk), one per 4096 or more rows, are added up per key.
     """
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([
@@ -56,11 +82,12 @@ def lag_gram(
 
     halo = with_halo(df.select(*keys, idx, *cols), idx, lookback)
     parts = halo.groupBy(*keys, CHUNK).applyInPandas(partial, schema)
-    total = F.aggregate(
-        F.collect_list("g"), F.lit(None).cast("array<double>"),
-        lambda acc, g: F.when(acc.isNull(), g).otherwise(F.zip_with(acc, g, lambda a, b: a + b)),
+    # Cells are added up one by one, with map-side combine; a key ends with one row per cell of its matrix.
+    cells = parts.select(*keys, "n", F.posexplode("g").alias("__i", "__v")).groupBy(*keys, "__i").agg(
+        F.sum("n").alias("n"), F.sum("__v").alias("__v")
     )
-    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), total.alias("g"))
+    line = F.array_sort(F.collect_list(F.struct("__i", "__v")))
+    return cells.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(line, lambda c: c["__v"]).alias("g"))
 
 
 def lagged(x: np.ndarray, k: int) -> np.ndarray:
@@ -89,9 +116,10 @@ def solve(m: np.ndarray, xs: Sequence[int], y: int) -> tuple[np.ndarray, np.ndar
 
 
 def finish(
-    grams: DataFrame, keys: Sequence[str], fn: Callable[[np.ndarray, int], dict | list[dict]], schema: str
+    grams: DataFrame, keys: Sequence[str], fn: Callable[..., dict | list[dict]], schema: str
 ) -> DataFrame:
-    """Turn every (n, g) row into result rows of ``schema`` (keys come first)."""
+    """Turn every (n, g) row, or (n, g, mean) row, into result rows of ``schema`` (keys come first)."""
+    more = ["mean"] if "mean" in grams.columns else []
     fields = ", ".join(f"`{k}` {grams.schema[k].dataType.simpleString()}" for k in keys)
     full = f"{fields}, {schema}" if keys else schema
 
@@ -100,12 +128,13 @@ def finish(
             rows = []
             for r in pdf.itertuples(index=False):
                 record = r._asdict()
-                result = fn(unpack(np.asarray(record["g"], dtype=float)), int(record["n"]))
+                means = [np.asarray(record[c], dtype=float) for c in more]
+                result = fn(unpack(np.asarray(record["g"], dtype=float)), int(record["n"]), *means)
                 for res in result if isinstance(result, list) else [result]:
                     rows.append({**{k: record[k] for k in keys}, **res})
             yield pd.DataFrame(rows, columns=[f.strip().split()[0].strip("`") for f in full.split(", ")])
 
-    return grams.select(*keys, "n", "g").mapInPandas(run, full)
+    return grams.select(*keys, "n", "g", *more).mapInPandas(run, full)
 
 
 def lasso(m: np.ndarray, n: float, xs: Sequence[int], y: int, alpha: float, free: Sequence[int] = (),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,12 +22,14 @@ class LinearQuantile:
     current residual, so every step is a weighted least-squares problem. One
     pass over the data gives the weighted Gram matrices of all quantiles; the
     k x k systems are solved on the driver. The smoothing width shrinks with
-    the steps, and the best coefficients seen so far are kept.
+    the steps, and the best coefficients seen so far are kept. Fitting ends
+    when five steps at a small width lower no loss by more than ``tol`` of it;
+    ``steps`` only guards against a fit without end and gives a warning.
     """
 
     def __init__(
         self, features: Sequence[str], target: str = "y", alpha: float = 0.0,
-        quantiles: Sequence[float] = DEFAULT_QUANTILES, steps: int = 25, tol: float = 1e-6,
+        quantiles: Sequence[float] = DEFAULT_QUANTILES, steps: int = 100, tol: float = 1e-5,
     ) -> None:
         self.features, self.target, self.alpha = list(features), target, alpha
         self.quantiles, self.steps, self.tol = tuple(quantiles), steps, tol
@@ -45,13 +48,12 @@ class LinearQuantile:
     def _fit(self, df: DataFrame, cols: list[str]) -> None:
         k, qs = len(self.features) + 1, self.quantiles
 
-        def moments(x: np.ndarray) -> np.ndarray:
-            return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
-
-        m = partition_sums(df, cols, moments)
+        # one row; deviations are added up stably, so values far from zero keep their digits
+        m = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
         n, width = m[0], len(cols)
-        mean = m[1:1 + width] / n
-        scale = np.sqrt(np.maximum(m[1 + width:] / n - mean**2, 0))
+        if not n:
+            raise ValueError("no row without nulls to fit on")
+        mean, scale = np.array(m[1:1 + width]), np.array(m[1 + width:])
         scale[scale == 0] = 1.0
 
         def standard(x: np.ndarray) -> np.ndarray:
@@ -69,6 +71,7 @@ class LinearQuantile:
         # the penalty counts coefficients of the unscaled columns
         weight = np.concatenate([[0.0], scale[-1] / scale[:-1]]) * self.alpha / scale[-1]
         best = [(np.inf, b) for b in beta]
+        history = []
 
         for step in range(self.steps + 1):
             eps = spread * max(1e-5, 0.3 * 0.6**step)
@@ -87,7 +90,6 @@ class LinearQuantile:
                 return np.concatenate([np.ravel(o) for o in out])
 
             sums = partition_sums(df, cols, work).reshape(len(qs), k * k + k + 1)
-            moved = 0.0
             for i in range(len(qs)):
                 loss = sums[i, -1] / n + weight @ np.abs(current[i])
                 if loss < best[i][0]:
@@ -102,9 +104,11 @@ class LinearQuantile:
                     beta[i] = lasso(full * np.outer(t, t), n, range(k), k, 1.0, free=[0]) / scaled
                 else:
                     beta[i] = np.linalg.lstsq(full[:k, :k], full[:k, k], rcond=None)[0]
-                moved = max(moved, float(np.abs(beta[i] - current[i]).max()))
-            if moved < self.tol and eps <= spread * 1e-3:
+            history.append(np.array([loss for loss, _ in best]))
+            if eps <= spread * 1e-3 and step >= 5 and np.all(history[-6] - history[-1] <= self.tol * history[-1]):
                 break
+        else:
+            warnings.warn(f"the losses still fall after {self.steps} steps", stacklevel=3)
 
         for q, (loss, b) in zip(qs, best):
             slope = b[1:] * scale[-1] / scale[:-1]

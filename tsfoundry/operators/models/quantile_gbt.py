@@ -38,7 +38,7 @@ def leaves(df: DataFrame, model: DecisionTreeRegressionModel, columns: list[str]
     return model.transform(vector).drop(VECTOR, model.getPredictionCol())
 
 
-@register("light_gbm")
+@register("quantile_gbt")
 class QuantileGBT:
     """Trees on the pinball gradient; leaves take the exact residual quantile.
 

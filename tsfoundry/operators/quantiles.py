@@ -20,7 +20,8 @@ SUB_BUCKETS = 4096
 
 
 def _bucket(v: Column) -> Column:
-    magnitude = F.floor(F.log1p(F.abs(v)) * RESOLUTION)
+    # infinite values have the outermost buckets, beyond the largest finite number's
+    magnitude = F.floor(F.least(F.log1p(F.abs(v)), F.lit(1000.0)) * RESOLUTION)
     return (F.signum(v) * magnitude).cast("int")
 
 
@@ -36,14 +37,14 @@ def value_cumcounts(
 ) -> DataFrame:
     """One row per (keys, v): its count ``c``, rows ``below`` it and the total ``n``.
 
-    Null values are ignored. With ``probs`` only the buckets holding the ranks
+    Null and NaN values are ignored, infinite ones come first and last. With ``probs`` only the buckets holding the ranks
     of those probabilities are ranked and returned.
     """
     v = F.col(value) if isinstance(value, str) else value
     w = weight if weight is not None else F.lit(1)
     rows = df.select(*keys, (v.cast("double") + F.lit(0.0)).alias("v"), w.cast("long").alias("__w"))
     vc = (
-        rows.filter(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.sum("__w").alias("c"))
+        rows.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy(*keys, "v").agg(F.sum("__w").alias("c"))
         .withColumn(B1, _bucket(F.col("v")))
     )
     axis = Window.partitionBy(*keys).orderBy(B1)
@@ -102,5 +103,6 @@ def exact_quantiles(
             return F.max(F.when(inside, F.col("v")))
 
         frac = F.max((F.col("n") - 1) * F.lit(float(p)) - low)
-        aggs.append((at(low) + (at(high) - at(low)) * frac).alias(name))
+        a, b = at(low), at(high)
+        aggs.append(F.when(a == b, a).otherwise(a + (b - a) * frac).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)

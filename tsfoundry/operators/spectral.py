@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,7 +138,8 @@ def stl_decompose(
     """Seasonal-trend decomposition: (keys, idx, value, trend, seasonal, resid).
 
     Every smoother is local, so a chunk with a halo as wide as all passes can
-    see gives the same values as the whole series.
+    see gives the same values as the whole series. A series of less than two
+    periods has null parts.
     """
     reach = stl_reach(period, seasonal)
     size = chunk or chunk_size(2 * reach)
@@ -148,9 +150,9 @@ def stl_decompose(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         y = pdf[value].to_numpy(dtype=float)
-        if len(y) < 2 * period:
-            raise ValueError(f"a series needs at least {2 * period} rows")
-        trend, season = stl(y, period, seasonal)
+        trend = season = np.full(len(y), np.nan)
+        if len(y) >= 2 * period:
+            trend, season = stl(y, period, seasonal)
         out = pdf[[*keys, idx, value]].assign(trend=trend, seasonal=season, resid=y - trend - season)
         return plain_objects(out[pdf[OWN].to_numpy()], keys)
 

@@ -49,7 +49,7 @@ def stream_split(spark, sf):
 def stream_score(spark, sf):
     """A fitted model applied to a stream of feature rows: no state, no join."""
     train, test = train_test(spark, sf)
-    model = LinearQuantile(FEATURES, quantiles=(0.25, 0.5, 0.75), steps=8).fit(train)
+    model = LinearQuantile(FEATURES, quantiles=(0.25, 0.5, 0.75)).fit(train)
     landed = scratch_path(spark, "features")
     written = write_table(test, landed)
     stream = spark.readStream.schema(written.schema).parquet(landed)
