@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsfoundry.operators.lookup import attach
 
 
 def left_join_exog(target: DataFrame, exog: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -39,12 +38,16 @@ def append_dedupe(
     old: DataFrame, new: DataFrame, on: Sequence[str], prefer: str = "old",
     tiebreak: Sequence[Column] = (),
 ) -> DataFrame:
-    """Union of both; on conflict the whole row of the preferred side is kept."""
+    """Union of both; on conflict the whole row of the preferred side is kept.
+
+    Within one side the row first by ``tiebreak``, then by its other columns, is kept.
+    """
     ranks = {"old": (0, 1), "new": (1, 0)}[prefer]
     both = old.withColumn("__rank", F.lit(ranks[0])).unionByName(
         new.withColumn("__rank", F.lit(ranks[1])), allowMissingColumns=True
     )
-    return keep_first(both, on, [F.col("__rank"), *tiebreak]).drop("__rank")
+    rest = [F.col(c) for c, t in both.dtypes if c not in on and c != "__rank" and not t.startswith("map")]
+    return keep_first(both, on, [F.col("__rank"), *tiebreak, *rest]).drop("__rank")
 
 
 def keep_first(df: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -60,9 +63,13 @@ def keep_first(df: DataFrame, on: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def mark_all_but_last(df: DataFrame, on: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """True for each row that has a later row with the same ``on``."""
+    """True for each row that has a later row with the same ``on``.
+
+    The last rows are about as many as the rows, so they are joined as they
+    are: copies for salts would multiply a table of that size.
+    """
     last = df.groupBy(*on).agg(F.max(F.struct(*order)).alias("__last"))
-    joined = attach(df, last, on)
+    joined = df.join(last, list(on))
     return joined.withColumn(out, F.struct(*order) < F.col("__last")).drop("__last")
 
 

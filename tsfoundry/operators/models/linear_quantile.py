@@ -29,7 +29,7 @@ class LinearQuantile:
 
     def __init__(
         self, features: Sequence[str], target: str = "y", alpha: float = 0.0,
-        quantiles: Sequence[float] = DEFAULT_QUANTILES, steps: int = 100, tol: float = 1e-5,
+        quantiles: Sequence[float] = DEFAULT_QUANTILES, steps: int = 100, tol: float = 1e-4,
     ) -> None:
         self.features, self.target, self.alpha = list(features), target, alpha
         self.quantiles, self.steps, self.tol = tuple(quantiles), steps, tol

@@ -150,7 +150,9 @@ def coverage(df: DataFrame, source: str, ts: str, start: Column) -> DataFrame:
 
 
 def assert_coverage(df: DataFrame, source: str, ts: str, start: Column) -> DataFrame:
-    late = coverage(df, source, ts, start).filter(~F.col("covered")).select(source).take(10)
-    if late:
-        raise ValueError(f"covariates start too late: {[r[0] for r in late]}")
+    """The rows; an error with the number of sources that start too late and the first ten by name."""
+    late = coverage(df, source, ts, start).filter(~F.col("covered")).select(source)
+    n = late.count()
+    if n:
+        raise ValueError(f"{n} covariates start too late: {[r[0] for r in late.orderBy(source).take(10)]}")
     return df

@@ -104,6 +104,16 @@ def assign_folds(
 
 
 def test_fold(df: DataFrame, folds: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Only the test rows, each with the one fold it belongs to."""
-    joined = attach(df, folds, keys)
+    """Only the test rows, each with the one fold it belongs to.
+
+    Test windows of a key follow each other at equal distances, so a row's fold
+    is arithmetic on its key's first window; rows never meet other folds.
+    """
+    length = epoch("test_end") - epoch("fold_train_end")
+    axis = folds.groupBy(*keys).agg(F.min("test_start").alias("__a"), F.max(length).alias("__l"), F.min("fold").alias("__f"))
+    numbered = attach(df, axis, keys).withColumn(
+        "fold", (F.col("__f") + F.floor((epoch(ts) - epoch("__a")) / F.col("__l"))).cast(folds.schema["fold"].dataType)
+    )
+    placed = attach(numbered.filter(F.col(ts) >= F.col("__a")).drop("__a", "__l", "__f"), folds, [*keys, "fold"])
+    joined = placed.select(*[c for c in df.columns], *[c for c in folds.columns if c not in keys])
     return joined.filter(F.col(ts).between(F.col("test_start"), F.col("test_end")))

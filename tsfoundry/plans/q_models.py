@@ -165,11 +165,10 @@ def tune_random(spark, sf):
 def gain_importance(spark, sf):
     train, _ = train_test(spark, sf)
     cols = ["lag_24", "lag_168", "hour", "weekday"]
-    rows = tune.gain_importance(
+    return tune.gain_importance(
         lambda f, seed: QuantileGBT(f, quantiles=(0.5,), rounds=2, depth=3, rate=0.3, seed=seed, bagging_fraction=0.8, row_key=["series_id", "idx"]),
-        train.persist(), cols, num_models=2, subset_fraction=0.5, mandatory=["hour", "weekday"],
+        train, cols, num_models=2, subset_fraction=0.5, mandatory=["hour", "weekday"],
     )
-    return rows
 
 
 def _info(spark, sf):
