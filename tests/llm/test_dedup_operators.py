@@ -1,6 +1,7 @@
 """Duplicates, near duplicates, repeated strings, URL verdicts and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -164,6 +165,34 @@ def test_url_parts_rules_and_templates(spark):
     assert url_filter.url_filter(pages.where("false"), labels, url_filter.RULES).count() == 0
 
 
+def test_url_branches_stand_alone_among_many_few_and_deep(spark):
+    deep, ways = "/".join("abcdefgh"), "/".join("way" for _ in range(40))
+    good = [f"http://many.io/s{chr(97 + i % 26)}{chr(97 + i // 26)}/{j}" for i in range(300) for j in range(2)]
+    bad = [f"http://many.io/ads/{i}" for i in range(300)]  # a third of the pages, beside 300 other sections
+    good += [f"http://few.io/news/{i}" for i in range(150)]
+    bad += [f"http://few.io/spam/{i}" for i in range(19)]
+    good += [f"http://deep.io/{deep}/news/{i}" for i in range(60)]
+    bad += [f"http://deep.io/{deep}/ads/{i}" for i in range(60)]
+    good += [f"http://way.io/{ways}"]
+    rows = list(enumerate(bad + good))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i >= len(bad)) for i, _ in rows], "page_id long, good boolean")
+    got = {x.page_id: x for x in url_filter.url_filter(pages, labels, []).collect()}
+    assert [u for i, u in rows if got[i].verdict != ("block" if i < len(bad) else "allow")] == []
+    assert {got[i].template for i, u in rows if "deep.io" in u} == {f"/{deep}/news/<n>", f"/{deep}/ads/<n>"}
+    assert {got[i].template for i, u in rows if "many.io" in u} == {"/ads/<n>", "/*/<n>"}
+    assert got[len(rows) - 1].template == "/" + ways
+
+
+def test_url_exact_test_of_a_branch(spark):
+    cases = [(n, k, big, g) for n in (1, 3, 7, 19) for k in range(n + 1) for big, g in ((19, 9), (40, 20), (500, 490), (9000, 30)) if k <= g and n - k <= big - g]
+    df = spark.createDataFrame(cases, "n long, k long, big long, g long")
+    got = df.withColumn("d", url_filter.differs(F.col("n"), F.col("k"), F.col("big"), F.col("g")))
+    for n, k, big, g, d in got.collect():
+        chance = [math.comb(g, i) * math.comb(big - g, n - i) / math.comb(big, n) for i in range(n + 1)]
+        assert d == (min(sum(chance[: k + 1]), sum(chance[k:])) < url_filter.TAIL), (n, k, big, g)
+
+
 # --- Pipeline -------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(9)

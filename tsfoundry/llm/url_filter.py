@@ -14,14 +14,10 @@ ORACLE = None
 #: (host, path, verdict) of the query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: Levels of the tree; deeper segments share one tail.
-DEPTH = 6
-#: A node whose segments are nearly all different is variable: this share of distinct ones, or so many.
-DISTINCT_SHARE = 0.2
-MOST_CHILDREN = 200
-#: A branch needs so many labelled urls to stand alone, and to differ from its siblings by so many standard errors.
-LEAST_LABELS = 20
+#: A branch stands alone where its labels differ from its siblings' by so many standard errors, or where as rare a difference shows in an exact test: that of branches with fewer than EXACT_BELOW labels.
 Z = 2.58
+TAIL = 0.00494
+EXACT_BELOW = 20
 #: Weight of the prior in a template's purity, and the purity below which it is rejected.
 SMOOTHING = 10.0
 LEAST_PURITY = 0.5
@@ -47,39 +43,59 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def shape(path: Column) -> Column:
-    """The segments of a path with digit runs and long hexadecimal names masked; at most DEPTH of them."""
+    """The segments of a path with digit runs and long hexadecimal names masked."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    masked = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f-]{12,}\b", "<hex>"), r"[0-9]+", "<n>"))
-    return F.when(F.size(masked) > DEPTH, F.concat(F.slice(masked, 1, DEPTH), F.array(F.lit("**")))).otherwise(masked)
+    return F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f-]{12,}\b", "<hex>"), r"[0-9]+", "<n>"))
+
+
+def _falling(top: Column, count: Column) -> Column:
+    """top (top - 1) ... with ``count`` factors; 1 for none."""
+    steps = F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.lit(1.0), lambda product, j: product * (top - j))
+
+
+def differs(labels: Column, good: Column, all_labels: Column, all_good: Column) -> Column:
+    """Whether ``good`` of ``labels`` is unlikely for a draw from the node's labels without replacement.
+
+    Under EXACT_BELOW labels by Fisher's exact test, at most EXACT_BELOW terms
+    of at most as many factors; else by the normal law with the same variance.
+    """
+    n, k = labels.cast("int"), good.cast("int")
+    terms = F.sequence(F.lit(0), n)
+    chance = F.transform(terms, lambda i: F.factorial(n) / F.factorial(i) / F.factorial(n - i) * _falling(all_good, i) * _falling(all_labels - all_good, n - i) / _falling(all_labels, n))
+    tail = lambda part: F.aggregate(part, F.lit(0.0), lambda total, c: total + c)
+    exact = F.least(tail(F.slice(chance, F.lit(1), k + 1)), tail(F.slice(chance, k + 1, n + 1))) < TAIL
+    share = all_good / F.greatest(all_labels, F.lit(1))
+    spread = F.greatest(share * (1 - share), F.lit(1e-4)) * (all_labels - labels) / F.greatest(all_labels - 1, F.lit(1))
+    normal = F.abs(good / F.greatest(labels, F.lit(1)) - share) > Z * F.sqrt(spread / F.greatest(labels, F.lit(1)))
+    return F.when(labels == 0, F.lit(False)).when(labels < EXACT_BELOW, exact).otherwise(normal & (labels < all_labels))
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
-    """Templates of ``shapes(host, shape, n, labels, good)``.
-
-    Level by level, each node of a host looks at its next segments. Where most
-    are different, or there are very many, they become a wildcard. Of the rest,
-    a branch whose share of good labels does not differ from the node's by more
-    than Z standard errors, or that has too few labels to tell, is merged into
-    the same wildcard; the others stay. Returns ``shapes`` with ``template``.
-    Each level reads the last one's table, so the plan doesn't grow with the depth.
+    """Templates of ``shapes(host, shape, n, labels, good)``, whose rows differ in host or shape.
+
+    Level by level, each node of a host looks at its next segments. A branch
+    stays if it is the only one or its share of good labels differs from its
+    siblings', however many there are; the others become one wildcard. A shape
+    alone in its node stays as it is to its end. Returns ``shapes`` with
+    ``template``. Each level reads the last one's table, so the plan doesn't
+    grow with the depth; the levels go on as long as shapes share a node.
     """
-    tree = shapes.withColumn("node", F.lit(""))
-    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0  # at most DEPTH + 1
-    for level in range(1, deepest + 1):
-        tree = tree.withColumn("seg", F.try_element_at("shape", F.lit(level)))
-        branch = tree.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labels", "good")])
-        node = branch.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "good")])
+    tree, level = shapes.withColumn("node", F.lit("")).withColumn("open", F.size("shape") > 0), 1
+    while tree.where("open").limit(1).count():
+        tree = tree.withColumn("seg", F.when(F.col("open"), F.try_element_at("shape", F.lit(level))))
+        branch = tree.where("open").groupBy("host", "node", "seg").agg(F.count(F.lit(1)).alias("shapes"), *[F.sum(c).alias(c) for c in ("labels", "good")])
+        node = branch.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("shapes", "labels", "good")])
         seen = branch.join(node, ["host", "node"])
-        fixed = (F.col("kinds") <= MOST_CHILDREN) & (F.col("kinds") <= F.greatest(F.lit(1.0), DISTINCT_SHARE * F.col("all_n")))
-        share = F.col("all_good") / F.greatest(F.col("all_labels"), F.lit(1))
-        error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-4)) / F.greatest(F.col("labels"), F.lit(1)))
-        differs = (F.col("labels") >= LEAST_LABELS) & (F.abs(F.col("good") / F.greatest(F.col("labels"), F.lit(1)) - share) > Z * error)
-        alone = (F.col("kinds") == 1) | differs
-        stays = seen.where(fixed & alone).select("host", "node", "seg", F.lit(True).alias("stays"))
+        stays = (F.col("kinds") == 1) | differs(F.col("labels"), F.col("good"), F.col("all_labels"), F.col("all_good"))
+        stays = seen.where(stays).select("host", "node", "seg", (F.col("all_shapes") == 1).alias("single"))
         tree = tree.join(stays, ["host", "node", "seg"], "left")
-        tree = tree.withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.when(F.col("stays"), F.col("seg")).otherwise("*")))).drop("seg", "stays")
-        tree = cut_lineage(tree)
-    return tree.withColumnRenamed("node", "template")
+        rest = F.array_join(F.slice("shape", level, F.greatest(F.size("shape"), F.lit(1))), "/")
+        step = F.when(F.col("single"), rest).when(F.col("single").isNotNull(), F.col("seg")).otherwise("*")
+        tree = tree.withColumn("node", F.when(F.col("open"), F.concat("node", F.lit("/"), step)).otherwise(F.col("node")))
+        tree = tree.withColumn("open", F.col("open") & ~F.coalesce("single", F.lit(False)) & (F.size("shape") > level)).drop("seg", "single")
+        tree, level = cut_lineage(tree), level + 1
+    return tree.drop("open").withColumnRenamed("node", "template")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
