@@ -10,6 +10,7 @@ from tsfoundry.operators.models.linear_quantile import LinearQuantile
 from tsfoundry.operators.models.naive import quantile_column
 from tsfoundry.operators.models.quantile_gbt import QuantileGBT
 from tsfoundry.operators.resample import index_ts
+from tsfoundry.plans import q_models
 
 K = ["series_id"]
 
@@ -140,3 +141,37 @@ def test_weekly_window_predicates(spark):
     assert hours.filter(tm.forecast_window("ts", 20)).count() == 70
     assert hours.filter(tm.target_times("ts")).count() == 6
     assert quantile_column(0.025) == "pred_0_025"
+
+
+def test_registered_models_are_fitted_whole(spark, monkeypatch):
+    rows = [("a", i, float(i % 24)) for i in range(24 * 28)]
+    panel = spark.createDataFrame(rows, "series_id string, idx long, y double").withColumn("ts", index_ts(F.col("idx") + 473_352, 3600))  # from 2024-01-01
+    monkeypatch.setattr(q_models, "hourly", lambda spark, sf: panel)
+    train, test = q_models.train_test(spark, "")
+    assert str(train.agg(F.max("ts")).first()[0]) == "2024-01-24 22:00:00" and test.count() == 97
+    fitted = {}
+
+    class Done(Exception):
+        pass
+
+    class Spy(QuantileGBT):
+        def fit(self, df, valid=None):
+            fitted[name] = (self.rounds, self.depth, self.rate, bool(self.patience), valid is not None and df.count() > valid.count() > 0)
+            raise Done
+
+    def spy(*args, **kwargs):
+        fitted[name] = kwargs
+        raise Done
+
+    monkeypatch.setattr(q_models, "QuantileGBT", Spy)
+    for name in ("quantile_gbt", "loss_curve", "gain_importance"):
+        with pytest.raises(Done):
+            getattr(q_models, name)(spark, "")
+        default = QuantileGBT([])
+        assert fitted[name] == (default.rounds, default.depth, default.rate, True, True), name
+    monkeypatch.setattr(q_models, "daily_exog", lambda spark, sf: panel)
+    for name, called, wanted in (("tune_random", "tune", {"n_trials": 50}), ("gain_importance", "gain_importance", {"num_models": 5}), ("forest_importance", "forest_importance", {"depth": 30})):
+        monkeypatch.setattr(tune, called, spy)
+        with pytest.raises(Done):
+            getattr(q_models, name)(spark, "")
+        assert fitted[name].items() >= wanted.items()

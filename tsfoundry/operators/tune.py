@@ -80,11 +80,11 @@ def best_params(trials: DataFrame, direction: str = "minimize") -> dict:
 def gain_importance(
     make_model: Callable[[list[str], int], object], df: DataFrame, features: Sequence[str], num_models: int,
     q: float = 0.5, subset_fraction: float = 1.0, mandatory: Sequence[str] = (), seed: int = 42,
-    parallelism: int = 4,
+    parallelism: int = 4, valid: DataFrame | None = None,
 ) -> DataFrame:
     """(model, feature, importance) over seeded models, each optionally on a subset.
 
-    ``mandatory`` features belong to every subset.
+    ``mandatory`` features belong to every subset. Models stop early on ``valid``, if given.
     """
     free = [f for f in features if f not in mandatory]
 
@@ -92,7 +92,8 @@ def gain_importance(
         rng = random.Random(seed + i)
         size = round(subset_fraction * len(free))
         chosen = [*mandatory, *sorted(rng.sample(free, size))]
-        model = make_model(chosen, seed + i).fit(df)
+        model = make_model(chosen, seed + i)
+        model = model.fit(df) if valid is None else model.fit(df, valid)
         return [(f"model_{i}", f, v) for f, v in model.importances(q).items()]
 
     with ThreadPoolExecutor(parallelism) as pool:

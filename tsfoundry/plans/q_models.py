@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsfoundry.functions import time as tm
-from tsfoundry.functions.time import ts_lit
 from tsfoundry.operators import forecast, metrics, scale, split, tune
 from tsfoundry.operators.features import add_calendar, add_lags
 from tsfoundry.operators.models.linear_quantile import LinearQuantile
@@ -17,7 +16,9 @@ from tsfoundry.plans.q_scalars import _FOLDS, hourly_folds
 from tsfoundry.plans.registry import query, rnd
 
 FEATURES = ["lag_24", "lag_168", "hour_sin", "hour_cos"]
-CUT = "2024-01-24 22:00:00"
+#: Hours of a forecast, and rounds without a better loss on the validation tail before boosting stops.
+FORECAST_HOURS = 73
+PATIENCE = 7
 
 
 def features(spark, sf):
@@ -25,9 +26,25 @@ def features(spark, sf):
     return add_calendar(lagged, "ts", ["hour", "weekday"], fourier=True).filter(F.col("lag_168").isNotNull())
 
 
+def cut_of(df):
+    """The last Wednesday 22:00 with a whole forecast after it."""
+    latest = (df.agg(F.max(tm.epoch("ts"))).first()[0] or 0) - FORECAST_HOURS * tm.HOUR
+    # 1970-01-01 was a Thursday: Monday-based week offset of an epoch second
+    past = (latest + 3 * tm.DAY - (tm.WED * tm.DAY + 22 * tm.HOUR)) % tm.WEEK
+    return tm.from_epoch(F.lit(latest - past))
+
+
 def train_test(spark, sf):
     df = features(spark, sf)
-    return df.filter(F.col("ts") <= ts_lit(CUT)), df.filter(F.col("ts") > ts_lit(CUT))
+    cut = cut_of(df)
+    return df.filter(F.col("ts") <= cut), df.filter(F.col("ts") > cut)
+
+
+def fit_valid(train):
+    """The training rows without and with the last fifth of their time, on which boosting is stopped."""
+    first, last = train.agg(F.min(tm.epoch("ts")), F.max(tm.epoch("ts"))).first()
+    edge = tm.from_epoch(F.lit((last or 0) - ((last or 0) - (first or 0)) // 5))
+    return train.filter(F.col("ts") <= edge), train.filter(F.col("ts") > edge)
 
 
 @query("rolling_cv_run", sql=_FOLDS + f""",
@@ -61,7 +78,7 @@ def linear_quantile_regression(spark, sf):
 def quantile_gbt(spark, sf):
     train, test = train_test(spark, sf)
     cols = ["lag_24", "lag_168", "hour", "weekday"]
-    model = QuantileGBT(cols, quantiles=(0.25, 0.5, 0.75), rounds=3, depth=4, rate=0.3, row_key=["series_id", "idx"]).fit(train)
+    model = QuantileGBT(cols, quantiles=(0.25, 0.5, 0.75), patience=PATIENCE, row_key=["series_id", "idx"]).fit(*fit_valid(train))
     scored = model.transform(test)
     names = {q: quantile_column(q) for q in model.quantiles}
     terms = [F.avg(metrics.pinball_term(F.lit(q), "y", c)).alias(c) for q, c in names.items()]
@@ -70,11 +87,11 @@ def quantile_gbt(spark, sf):
 
 @query("loss_curve")
 def loss_curve(spark, sf):
-    train, test = train_test(spark, sf)
+    train, _ = train_test(spark, sf)
     cols = ["lag_24", "lag_168", "hour", "weekday"]
     model = QuantileGBT(
-        cols, quantiles=(0.5,), rounds=4, depth=4, rate=0.3, patience=3, bagging_fraction=0.8, row_key=["series_id", "idx"]
-    ).fit(train, test)
+        cols, quantiles=(0.5,), patience=PATIENCE, bagging_fraction=0.8, row_key=["series_id", "idx"]
+    ).fit(*fit_valid(train))
     return tune.loss_curve(spark, "quantile_gbt", model.curve)
 
 
@@ -118,7 +135,8 @@ def other_quantiles(spark, sf):
 @query("simple_split_run")
 def simple_split_run(spark, sf):
     """Scale, fit, forecast recursively and evaluate one train/test split."""
-    marked = features(spark, sf).withColumn("part", F.when(F.col("ts") <= ts_lit(CUT), "train").otherwise("test"))
+    known = features(spark, sf)
+    marked = known.withColumn("part", F.when(F.col("ts") <= cut_of(known), "train").otherwise("test"))
     scaled, _ = scale.scale_by_group(marked, "part", {"time": {"columns": ["hour_sin", "hour_cos"], "method": "standard"}})
     train = scaled.filter(F.col("part") == "train")
     model = LinearQuantile(FEATURES, quantiles=QS).fit(train)
@@ -156,18 +174,18 @@ def tune_random(spark, sf):
     trials = tune.tune(
         lambda p: LinearQuantile(FEATURES, alpha=p["alpha"], quantiles=(0.5,)),
         {"alpha": {"type": "float", "low": 0.0, "high": 1.0}}, df, KEY, "idx",
-        n_trials=3, n_splits=2, test_size=73, scored_rows=tm.forecast_window("ts"),
+        n_trials=50, n_splits=2, test_size=FORECAST_HOURS, scored_rows=tm.forecast_window("ts"),
     )
     return tune.trial_summary(trials)
 
 
 @query("gain_importance")
 def gain_importance(spark, sf):
-    train, _ = train_test(spark, sf)
+    train, valid = fit_valid(train_test(spark, sf)[0])
     cols = ["lag_24", "lag_168", "hour", "weekday"]
     return tune.gain_importance(
-        lambda f, seed: QuantileGBT(f, quantiles=(0.5,), rounds=2, depth=3, rate=0.3, seed=seed, bagging_fraction=0.8, row_key=["series_id", "idx"]),
-        train, cols, num_models=2, subset_fraction=0.5, mandatory=["hour", "weekday"],
+        lambda f, seed: QuantileGBT(f, quantiles=(0.5,), patience=PATIENCE, seed=seed, bagging_fraction=0.8, row_key=["series_id", "idx"]),
+        train, cols, num_models=5, subset_fraction=0.5, mandatory=["hour", "weekday"], valid=valid,
     )
 
 
@@ -196,4 +214,4 @@ def permutation_importance(spark, sf):
 
 @query("forest_importance")
 def forest_importance(spark, sf):
-    return tune.forest_importance(daily_exog(spark, sf), "y", ["qty", "disc", "tax"], trees=100, depth=5)
+    return tune.forest_importance(daily_exog(spark, sf), "y", ["qty", "disc", "tax"], trees=100, depth=30)  # Spark's limit; the reference has none
