@@ -190,6 +190,18 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert toxicity.fit(empty(df), df.select("doc_id", "toxic")).trees is None
 
 
+def test_lexicon_counts_rows_beyond_the_sample(spark, monkeypatch):
+    r = random.Random(6)
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
+    plain = [(i, int(r.random() < 0.3), [r.choice(common) for _ in range(20)]) for i in range(600)]
+    order = [x.id for x in spark.createDataFrame([(i,) for i, _, _ in plain], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    beyond = set(order[200:])
+    rows = [(i, " ".join(w + ["meanie"] * toxic + ["rotter"] * (toxic and i in beyond)), toxic) for i, toxic, w in plain]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {"meanie", "rotter"} <= set(toxicity.fit(df, df.select("doc_id", "toxic")).lexicon)
+
+
 def test_digests_of_the_codec_query(spark, tmp_path):
     rows = [(i, t) for i, t, _ in ODD if i is not None]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))

@@ -22,7 +22,7 @@ from tsfoundry.session import configure, cut_lineage
 NAME = "op8_toxicity"
 ORACLE = None
 
-#: The classifier is fitted on at most so many labelled rows, those of the smallest hashes of their ids.
+#: Trees and calibration are fitted on at most so many labelled rows, those of the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
 #: Most terms in the lexicon; a term needs so many toxic texts and such odds against clean ones.
 LEXICON_TERMS = 600
@@ -144,20 +144,21 @@ def features(rows: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...] =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
-    """Lexicon, trees and calibration from a bounded sample of labelled rows.
+    """Lexicon from all labelled rows but the calibration's; trees and calibration from a bounded sample of them.
 
     Of two labels of one id the toxic one counts; null ids and labels are
     ignored. With labels of one kind only, or none, every score is that share.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    texts = id_and_text(docs, id_col, text_col)
+    chosen = marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     # At most SAMPLE_ROWS rows of 12 bytes.
-    rows = cut_lineage(id_and_text(docs, id_col, text_col).join(F.broadcast(marks), "id"))
+    rows = cut_lineage(texts.join(F.broadcast(chosen), "id"))
     held = F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary")) % CALIBRATION_OF == 0
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.count_distinct(held, "toxic").alias("kinds")).first()
     if not seen["n"] or seen["kinds"] < 4:
         return Toxicity({}, None, None, (seen["t"] or 0) / max(seen["n"], 1))
-    lexicon = learn_lexicon(rows.where(~held))
+    lexicon = learn_lexicon(texts.where(~held).join(marks, "id"))
     known = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, lexicon, ("toxic",))).select("id", "features", F.col("toxic").cast("double").alias("label")))
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, seed=1, cacheNodeIds=False).fit(known.where(~held))
     scored = trees.transform(known.where(held)).select("label", "probability")
