@@ -135,6 +135,20 @@ def test_repeated_strings(spark, odd, monkeypatch, hot):
     assert suffix_dedup.repeated_spans(odd.where("false")).count() == 0
 
 
+def test_groups_of_most_rows_or_bytes_are_split_first(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "GROUP_BYTES", 100)
+    monkeypatch.setattr(exact_dedup, "SPLIT_GROUPS", 2)
+    rows = [(i, "") for i in range(60)] + [(100 + i, "x" * 150) for i in range(4)] + [(200 + i, "y" * 90) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = exact_dedup.split_groups(docs.select(F.sha2("text", 256).alias("sha"), F.col("text").alias("norm"))).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {x.sha: x.parts for x in groups} == {sha(""): 12, sha("x" * 150): 6}
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_dedup(docs).collect()}
+    first, size = {"": 0, "x": 100, "y": 200}, {"": 60, "x": 4, "y": 2}
+    assert got == {i: (first[t[:1]], size[t[:1]], i == first[t[:1]]) for i, t in rows}
+
+
 # --- URLs -----------------------------------------------------------------------------------------
 def plain_url(url):
     if url is None or "://" not in url:

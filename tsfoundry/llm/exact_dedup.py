@@ -13,7 +13,7 @@ NAME = "op9_exact_dedup"
 #: A group of copies with more rows or bytes is dealt over several sort groups.
 GROUP_ROWS = 1_000
 GROUP_BYTES = 8 << 20
-#: So many of the largest groups are split. Any other group holds less than this part of all bytes.
+#: So many of the largest groups are split. Any other group has less than this part of the parts that all groups together would have.
 SPLIT_GROUPS = 10_000
 #: Leading bytes of a text that, with its digest, place it in the order.
 PREFIX_BYTES = 32
@@ -24,6 +24,14 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def split_groups(base: DataFrame) -> DataFrame:
+    """``sha, parts`` of the groups of ``base(sha, norm)`` that need most parts, by rows or by bytes."""
+    groups = base.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("bytes"))
+    size = F.greatest(F.col("n") / GROUP_ROWS, F.col("bytes") / GROUP_BYTES)
+    large = groups.withColumn("size", size).where("size > 1").orderBy(F.desc("size"), "sha").limit(SPLIT_GROUPS)
+    return large.select("sha", F.ceil("size").cast("int").alias("parts"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group rows of equal normalised text and keep the smallest id of each group.
 
@@ -42,10 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     base = base.select("id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.substring(F.col("norm").cast("binary"), 1, PREFIX_BYTES).alias("prefix"))
 
-    groups = base.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("bytes"))
-    large = groups.where((F.col("n") > GROUP_ROWS) | (F.col("bytes") > GROUP_BYTES))
-    parts = F.ceil(F.greatest(F.col("n") / GROUP_ROWS, F.col("bytes") / GROUP_BYTES)).cast("int")
-    large = large.orderBy(F.desc("bytes"), F.desc("n"), "sha").limit(SPLIT_GROUPS).select("sha", parts.alias("parts"))
+    large = split_groups(base)
     # At most SPLIT_GROUPS rows of 80 bytes.
     placed = base.join(F.broadcast(large), "sha", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0))
 
