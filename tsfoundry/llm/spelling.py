@@ -24,8 +24,10 @@ RATIO = 10
 NOISE = 31
 #: Bigrams are counted in so many buckets, whatever the alphabet; a table of as many counts goes to the tasks.
 BUCKETS = 1 << 16
-#: Bigrams in a prefix: one edit changes at most two neighbouring ones, so of three some two are disjoint.
-PREFIX = 3
+#: Bigrams in a prefix, tried in turn: of three some two are disjoint; the last size takes all.
+PREFIX_SIZES = (3, 4, 5, 6, 8, 11, 16, 1 << 30)
+#: A prefix grows while its pivots are expected to meet more words than this.
+MEETS = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,38 +62,51 @@ class _Grams:
         mixed = (self.code[at] * np.uint64(0x9E3779B1) + self.code[at + 1] * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
         self.bucket = (mixed >> np.uint64(16)).astype(np.int64) % BUCKETS
 
-    def prefixes(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which bigrams belong to their word's prefix, and each word's last rank in it.
+    def choose(self, counts: np.ndarray, order: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which bigrams belong to their word's prefix, the prefix's last rank, and the places of the two pivots.
 
-        The prefix holds the ``PREFIX`` rarest bigrams and all others of the last one's rank.
+        A prefix holds a word's rarest bigrams, and all others of the last
+        one's rank. It grows until two bigrams in it, disjoint and the left one
+        for what stands before it, the right one for what stands behind it,
+        are expected to meet few words. Dynamic programming from left to right
+        finds the best two: the best left one up to each place, then the best
+        right one two places on.
         """
         rank = order[self.bucket]
-        by = np.lexsort((rank, self.word))
-        last = rank[by][self.first + PREFIX - 1]
-        return rank <= last[self.word], last
-
-    def pivots(self, inside: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of two bigrams of each word's prefix that share no code point and are rarest in total.
-
-        Dynamic programming from left to right: the best first bigram up to each
-        place, then the best second one two places on.
-        """
-        big = np.int64(1) << 44
-        weight = np.where(inside, np.minimum(counts[self.bucket], big // 4), big // 2)
-        step = weight - self.word * big  # smaller in each next word, so a running minimum begins anew there
-        least = np.minimum.accumulate(step)
-        index = np.arange(len(step))
-        new = np.concatenate(([True], step[1:] < least[:-1]))
-        which = np.maximum.accumulate(np.where(new, index, 0))
-        total = np.full(len(step), big)
-        second = self.place >= 2
-        before = index[second] - 2
-        total[second] = weight[second] + least[before] + self.word[before] * big
-        best = np.minimum.reduceat(total, self.first) if len(total) else total
-        hit = np.flatnonzero(total == best[self.word])
-        _, one = np.unique(self.word[hit], return_index=True)
-        right = hit[one]
-        return self.place[which[right - 2]], self.place[right]
+        by_rank = rank[np.lexsort((rank, self.word))]
+        rare = np.log((counts[self.bucket] + 1) / (counts.sum() + 1))
+        total = np.concatenate(([0.0], np.cumsum(rare)))
+        index, end = np.arange(len(rank)), (self.first + self.count)[self.word]
+        # Expected words with the same head or tail: its overlapping bigrams weigh half each.
+        ahead, behind = self.place + 1, end - index
+        head = (total[index + 1] - total[self.first[self.word]]) * (ahead + 1) / (2 * ahead)
+        tail = (total[end] - total[index]) * (behind + 1) / (2 * behind)
+        big = np.int64(1) << 42
+        meets = lambda x: np.minimum(16 * n_words * np.exp(x), big // 64).astype(np.int64)
+        head, tail = meets(head), meets(tail)
+
+        words = len(self.length)
+        last, left, right = (np.zeros(words, np.int64) for _ in range(3))
+        open_ = np.ones(words, bool)
+        for size in PREFIX_SIZES:
+            size = np.minimum(size, self.count)
+            until = by_rank[self.first + size - 1]
+            inside = rank <= until[self.word]
+            step = np.where(inside, head, big // 4) - self.word * big  # smaller in each next word, so a running minimum begins anew there
+            least = np.minimum.accumulate(step)
+            which = np.maximum.accumulate(np.where(np.concatenate(([True], step[1:] < least[:-1])), index, 0))
+            second = np.flatnonzero(self.place >= 2)
+            cost = np.full(len(rank), big)
+            cost[second] = np.where(inside[second], tail[second], big // 4) + least[second - 2] + self.word[second] * big
+            best = np.minimum.reduceat(cost, self.first)
+            hit = np.flatnonzero(cost == best[self.word])
+            at = hit[np.unique(self.word[hit], return_index=True)[1]]
+            now = open_ & ((best <= 16 * MEETS) | (size == self.count))
+            last[now], right[now], left[now] = until[now], self.place[at][now], self.place[which[at - 2]][now]
+            open_ &= ~now
+            if not open_.any():
+                break
+        return rank <= last[self.word], last, left, right
 
     def hashes(self, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of what a word has up to the bigram at a place, and from it on."""
@@ -130,9 +145,9 @@ def gram_counts(words: DataFrame) -> np.ndarray:
 def near_pairs(words: DataFrame) -> DataFrame:
     """``word, n, other, other_n``: each pair of ``words(word, n)`` that one edit separates, once.
 
-    Bigrams are ordered from rare to common. Of two words one edit apart, take
-    the one whose prefix ends earlier in this order: the edit leaves one of its
-    two pivots whole, which then stands in the other's prefix. If the right
+    Bigrams are ordered from rare to common, and each word has a prefix in this
+    order. Of two words one edit apart, take the one whose prefix ends earlier:
+    the edit leaves one of its two pivots whole, which then stands in the other's prefix. If the right
     pivot is whole and the edit lies to its left, both words are equal from
     that pivot on; else they are equal up to the left pivot's end. So the index
     has, for each prefix bigram, the length with the part of the word up to the
@@ -140,7 +155,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     its right pivot's part at three lengths. What meets is verified by edit
     distance. Words are distinct, of four code points at least.
     """
-    counts = gram_counts(words)
+    counts, n_words = gram_counts(words), words.count()
     order = np.empty(BUCKETS, np.int64)
     order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
 
@@ -153,7 +168,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             g = _Grams(b.column(0))
-            inside, last = g.prefixes(order)
+            inside, last, _, _ = g.choose(counts, order, n_words)
             of, place = g.word[inside], g.place[inside]
             for kind, hashed in enumerate(g.hashes(of, place)):
                 yield batch(b, of, _key(kind, hashed, g.length[of]), np.full(len(of), kind), last[of], place, place)
@@ -163,8 +178,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             g = _Grams(b.column(0))
-            inside, last = g.prefixes(order)
-            left, right = g.pivots(inside, counts)
+            _, last, left, right = g.choose(counts, order, n_words)
             of = np.arange(b.num_rows)
             up_to, from_on = g.hashes(of, left)[0], g.hashes(of, right)[1]
             for kind, hashed in enumerate((up_to, from_on)):
