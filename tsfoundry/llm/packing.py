@@ -21,9 +21,19 @@ ORACLE = None
 
 CAPACITY = 1024
 END_ID = 2
-#: Rounds of multiplicative weights, and their step.
-ROUNDS = 400
-STEP = 0.2
+#: Rounds of multiplicative weights, and the rate at which the weights of lengths that fall behind rise.
+ROUNDS, RATE = 12, 0.5
+#: Configurations whose value is so near to the best are taken in one round.
+TOLERANCE = 0.002
+#: Shares are rounded down while that places this part of the program's value. After that they are rounded up,
+#: in solutions of fewer rounds, each until this part of the pieces is longer than what is placed and still waits.
+LEAST_WHOLE, MOST_WAITING, LATER_ROUNDS = 0.05, 0.3, 5
+#: A configuration may leave so many tokens empty.
+SLACK = 1
+#: Part of the pieces left to best fit: rounding the last configurations would waste more than they have.
+LEFT_OVER = 0.09
+#: Bytes of text encoded together; ids and places take several times as much.
+CHUNK_BYTES = 2 << 20
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,7 +46,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = bpe.vocabulary(path)
         merge = bpe.merge_with_tiktoken if bpe.id_is_rank(voc) else bpe.merge_words
-        for b in chunks(batches, limit=bpe.INDEX_BYTES):
+        for b in chunks(batches, limit=CHUNK_BYTES):
             ids, off = bpe.encode_texts(b.column(1), voc, merge)
             ids = np.insert(ids.astype("<u4"), off[1:], end_id)
             off = off + np.arange(len(off))
@@ -56,74 +66,141 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return out.withColumnRenamed("id", id_col)
 
 
-def price(value: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """The best configuration: (length, copies) pairs within the capacity, of the greatest total value.
+class Knapsack:
+    """Best fillings of every room by items of ascending length, each used at most as often as it is there.
 
-    A knapsack by dynamic programming over the room: the best of each room is
-    the best last length and what fits before it.
+    Copies of a length are items of 1, 2, 4, ... pieces. One pass of dynamic
+    programming gives, for every item, the best configuration in which it is
+    the last, that is the longest: the pieces below fill what it leaves.
     """
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        total = value[1 : room + 1] + best[room - 1 :: -1][:room]
-        at = int(total.argmax())
-        if total[at] > best[room - 1]:
-            best[room], last[room] = total[at], at + 1
-        else:
-            best[room] = best[room - 1]
-    room, chosen = capacity, {}
-    while room > 0:
-        n = int(last[room])
-        if n:
-            chosen[n] = chosen.get(n, 0) + 1
-        room -= n or 1
-    return sorted(chosen.items(), reverse=True)
-
 
-def fractional(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], float]]:
-    """Configurations with shares that use no length more often than it occurs.
-
-    Multiplicative weights on the covering program: a length that is covered
-    well loses weight, and the knapsack prices the next configuration.
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int):
+        item, copies = [], []
+        for i, n in enumerate(lengths.tolist()):
+            most, k = min(int(counts[i]), capacity // n), 1
+            parts = []
+            while most > 0:
+                k = min(k, most)
+                parts.append(k)
+                most, k = most - k, 2 * k
+            for k in reversed(parts):
+                item.append(i)
+                copies.append(k)
+        self.item, self.copies, self.capacity = np.array(item, np.int64), np.array(copies, np.int64), capacity
+        self.size = lengths[self.item] * self.copies
+        gain = values[self.item] * self.copies
+        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int16)
+        self.last = np.empty((len(item) + 1, capacity + 1), np.int16)
+        self.last[0] = last
+        self.worth = np.empty(len(item))
+        for i, (n, v) in enumerate(zip(self.size.tolist(), gain.tolist())):
+            with_it = best[: capacity + 1 - n] + v
+            self.worth[i] = with_it[-1]
+            better = with_it >= best[n:] * (1 - 1e-12)  # of equal fillings the one with longer pieces
+            better &= with_it > 0
+            best[n:][better] = with_it[better]
+            last[n:][better] = i
+            self.last[i + 1] = last
+        self.value = best[capacity]
+        self._of, self._n, self._size = self.item.tolist(), self.copies.tolist(), self.size.tolist()
+
+    def configuration(self, i: int) -> dict[int, int]:
+        """Copies by number of length in the best filling with item i as the last one."""
+        room, out = self.capacity - self._size[i], {self._of[i]: self._n[i]}
+        while (i := int(self.last[i, room])) >= 0:
+            out[self._of[i]] = out.get(self._of[i], 0) + self._n[i]
+            room -= self._size[i]
+        return out
+
+
+def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[list[tuple[int, int]], float]], float]:
+    """Configurations with their shares, and a lower bound on the number of sequences.
+
+    Multiplicative weights on the covering program: each length should be
+    covered as often as it occurs by as few sequences as possible. All lengths
+    are covered at one pace, an equal part of their need in each round. In a
+    round the knapsack prices the configurations at the present weights; those
+    within ``TOLERANCE`` of the best one are taken as far as the pace allows.
+    A length that falls behind gains weight; one that is covered leaves. By
+    duality the weights of the pieces over the best configuration's bound
+    the number of sequences from below.
+    """
+    lengths = np.flatnonzero(counts)
+    need = counts[lengths].astype(float)
+    covered, log_weight = np.zeros(len(lengths)), np.zeros(len(lengths))
+    shares: dict[tuple, float] = {}
+    bound = 0.0
+    for step in range(rounds):
+        goal = need * min(1.0, (step + 1) / (rounds - 2))
+        active = np.flatnonzero(covered < goal * (1 - 1e-9))
+        if not len(active):
+            continue
+        values = lengths[active] * np.exp(log_weight[active] - log_weight[active].max())
+        sack = Knapsack(lengths[active], counts[lengths[active]], values, capacity)
+        bound = max(bound, float(need[active] @ values) / sack.value)
+        room, names = (goal - covered)[active].tolist(), lengths[active].tolist()
+        for i in np.flatnonzero(sack.worth >= (1 - TOLERANCE) * sack.value)[::-1].tolist():
+            config = sack.configuration(i)
+            times = min(room[j] / k for j, k in config.items())
+            if times > 1e-6:
+                for j, k in config.items():
+                    room[j] -= k * times
+                key = tuple(sorted(((names[j], k) for j, k in config.items()), reverse=True))
+                shares[key] = shares.get(key, 0.0) + times
+        covered[active] = goal[active] - room
+        log_weight += RATE * (goal - covered) / need
+    return [(list(c), x) for c, x in shares.items()], bound
+
+
+def place_configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[list[tuple[int, int]], int]], np.ndarray]:
+    """Whole configurations and how often each is used, and the pieces that are left without a place.
+
+    The program's shares are rounded down, and the program is solved again for
+    what that leaves. Where that would place few, the configurations are used
+    at least once each as far as their pieces are there, those of the longest pieces
+    first and until some of these are left waiting: the short pieces then stay
+    for them in the next solution. A part of ``LEFT_OVER`` of the pieces is left.
     """
-    present = np.flatnonzero(counts)
-    if not len(present):
-        return []
-    need = counts.astype(float)
-    cover, log_weight = np.zeros(capacity + 1), np.zeros(capacity + 1)
-    found: dict[tuple, float] = {}
-    for _ in range(ROUNDS):
-        value = np.full(capacity + 1, -1.0)
-        value[present] = present * np.exp(log_weight[present] - log_weight[present].max())
-        config = price(value, capacity)
-        length, copies = np.array(config).T
-        times = float((need[length] / copies).min())  # until one of its lengths is covered once
-        found[tuple(config)] = found.get(tuple(config), 0.0) + times
-        gain = copies * times / need[length]
-        cover[length] += gain
-        log_weight[length] -= STEP * gain
-    return [(list(config), times / max(cover.max(), 1.0)) for config, times in found.items()]
+    left = counts.copy()
+    used: list[tuple[list[tuple[int, int]], int]] = []
+    rounds = ROUNDS
+    while left.sum() > LEFT_OVER * counts.sum():
+        shares = fractional(left, capacity, rounds)[0]
+        whole = [(c, int(x)) for c, x in shares if x >= 1]
+        if sum(x for _, x in whole) < LEAST_WHOLE * sum(x for _, x in shares):
+            shares.sort(key=lambda s: (-s[0][0][0], -s[1]))
+            whole, rounds = [(c, max(1, int(x))) for c, x in shares], LATER_ROUNDS
+            waiting = MOST_WAITING * left.sum()
+        else:
+            waiting = np.inf
+        before = left.sum()
+        # where nothing could be placed, without waiting, and then with configurations that leave more room
+        for least, waiting in ((capacity - SLACK, waiting), (capacity - SLACK, np.inf), (0, np.inf)):
+            for config, times in whole if left.sum() == before else []:
+                if left[config[0][0] + 1 :].sum() > waiting:
+                    break
+                times = min([times, *[int(left[n]) // k for n, k in config]])
+                if times > 0 and sum(n * k for n, k in config) >= least:
+                    used.append((config, times))
+                    for n, k in config:
+                        left[n] -= k * times
+    return used, left
 
 
 def solve(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Configurations and how often each is used, so that every piece has a place.
 
     ``counts[n]`` pieces have length n; the histogram has ``capacity`` numbers,
-    whatever the table's size. The program's shares of full configurations are
-    rounded down; what is left is packed largest first by best fit.
+    whatever the table's size. The configuration program places all but a part
+    of ``LEFT_OVER``; that is packed largest first by best fit.
     """
     counts = counts.astype(np.int64).copy()
     used: list[tuple[list[tuple[int, int]], int]] = []
     if counts[capacity]:
         used.append(([(capacity, 1)], int(counts[capacity])))
         counts[capacity] = 0
-    left = counts.copy()
-    for config, times in fractional(left, capacity):
-        times = int(times)
-        if times and sum(n * c for n, c in config) == capacity:
-            used.append((config, times))
-            for n, c in config:
-                left[n] -= c * times
-    # What the rounding leaves, largest first, each time the largest piece that still fits.
+    placed, left = place_configurations(counts, capacity)
+    used += placed
     while left.any():
         room, filled = capacity, {}
         while len(fits := np.flatnonzero(left[: room + 1])):
