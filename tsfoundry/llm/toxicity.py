@@ -32,6 +32,8 @@ LEAST_ODDS = 6.0
 PREFIX = 5
 #: Words from a term to a second person that count as near.
 NEAR = 4
+#: Bits of the filter of labelled ids, 4 MB.
+FILTER_BITS = 1 << 25
 #: Trees.
 ROUNDS, DEPTH, RATE = 20, 3, 0.3
 #: A fifth of the fitting rows calibrates the scores.
@@ -143,6 +145,24 @@ def features(rows: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...] =
     return rows.select("id", *keep, "text").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ("id", *keep)) + "".join(f", {c} double" for c in FEATURES))
 
 
+def labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``texts`` joined with ``marks(id, toxic)``; most texts without a mark don't reach the shuffle.
+
+    A filter of at most ``FILTER_BITS`` bits, one for each hash of a marked id,
+    is met by every text where it is read; what it lets through wrongly falls
+    out in the join. The join is the same at every size.
+    """
+    bit = lambda: F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    block = F.bitmap_bucket_number(F.col("bit") + 1)
+    place = F.bitmap_bit_position(F.col("bit") + 1)
+    bits = marks.select(bit().alias("bit")).groupBy(block.alias("block")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    # FILTER_BITS / 8 bytes at most
+    near = texts.withColumn("bit", bit()).withColumn("block", block).join(F.broadcast(bits), "block")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = near.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).select(*texts.columns)
+    return near.hint("merge").join(marks, "id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Lexicon from all labelled rows but the calibration's; trees and calibration from a bounded sample of them.
 
@@ -158,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.count_distinct(held, "toxic").alias("kinds")).first()
     if not seen["n"] or seen["kinds"] < 4:
         return Toxicity({}, None, None, (seen["t"] or 0) / max(seen["n"], 1))
-    lexicon = learn_lexicon(texts.where(~held).join(marks, "id"))
+    lexicon = learn_lexicon(labelled(texts.where(~held), marks))
     known = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, lexicon, ("toxic",))).select("id", "features", F.col("toxic").cast("double").alias("label")))
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, seed=1, cacheNodeIds=False).fit(known.where(~held))
     scored = trees.transform(known.where(held)).select("label", "probability")
