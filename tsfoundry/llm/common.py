@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -15,6 +16,15 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C heap hold from the last group goes back to the system; a worker serves many groups, and many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -24,9 +34,9 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session, or more where the input has more."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def partitions(df: DataFrame, bytes_: int = 0, each: int = 1) -> int:
+    """Shuffle partitions of the session, or more where ``bytes_`` need more parts of ``each`` bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, -(-bytes_ // each))
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +54,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about ``limit`` bytes of text; a longer text is a run of its own."""
     for batch in batches:
+        give_back()
         if not batch.num_rows:
             continue
         _, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
@@ -54,6 +65,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             # A copy without an offset: some Arrow kernels mistake that of a slice.
             yield batch if stop - start == batch.num_rows else batch.take(pa.array(np.arange(start, stop)))
             start = stop
+    give_back()
 
 
 def words(col: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

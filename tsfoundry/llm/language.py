@@ -207,8 +207,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     their length) is the prediction, its share of them the score; ties go to the
     first name. A null text, or one without letters, is ``und`` with score 0 and
     no spans, and so is every text of a model that knows no language. Rows are
-    independent. The columns ``rest`` return in a struct of that name, others
-    are ignored.
+    independent. The columns ``rest`` return in a struct of that name, and then
+    the text as ``text``, empty for null; others are ignored.
     """
     span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         names = np.array([*model.langs, "und"])
         width = len(model.langs)
         for b in chunks(batches, limit=2 << 20):
-            n, own = b.num_rows, b.columns[2:]
+            n, own = b.num_rows, [b.column(1), *b.columns[2:]] if rest else []
             codes, distinct, off = words(b.column(1))
             if not width or not len(codes):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([[]] * n, span), *own], names_out)
@@ -237,20 +237,25 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[top]), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds), values), *own], names_out)
 
     schema = "id long, lang_pred string, score double, spans array<struct<lang: string, first_word: int, n_words: int>>"
-    names_out = ["id", "lang_pred", "score", "spans", *(["rest"] if rest else [])]
+    names_out = ["id", "lang_pred", "score", "spans", *(["text", "rest"] if rest else [])]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text, *([F.struct(*rest).alias("rest")] if rest else []))
     if rest:
-        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+        schema += f", text string, rest {rows.schema['rest'].dataType.simpleString()}"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that have a language with at least LEAST_SHARE of their words."""
-    named = identify(docs, model, id_col, text_col, tuple(docs.columns))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("rest.*")
-
+    """The documents, with all their columns, that have a language with at least LEAST_SHARE of their words.
 
+    If the model knows no language, those with letters stay.
+    """
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\pL"))
+    others = tuple(c for c in docs.columns if c != text_col) or (text_col,)
+    named = identify(docs, model, id_col, text_col, others)  # the text passes once
+    known = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return known.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def remainder(id_col: str, of: int) -> F.Column:

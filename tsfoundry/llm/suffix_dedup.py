@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsfoundry.llm.common import load, partitions, ranges, text_buffer
+from tsfoundry.llm.common import give_back, load, partitions, ranges, text_buffer
 from tsfoundry.llm.suffixes import permuted_common, suffix_array
 from tsfoundry.session import configure
 
@@ -27,6 +27,8 @@ _LOW = np.uint64((1 << 20) - 1)
 HOT_FRAGMENTS = 20_000
 #: Bytes of fragments that share one suffix array.
 ARRAY_BYTES = 3 << 20
+#: Bytes of text of a group of documents, and bytes of text that send their fragments to one shard.
+GROUP_BYTES, SHARD_BYTES = 5 << 20, 16 << 20
 #: Rows of one id are told apart by this distance between their starts.
 ROW_STRIDE = 1 << 36
 NO_ID = (1 << 63) - 1
@@ -171,14 +173,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of their texts, null ids come last. Null, empty and short texts
     lose nothing. Other columns are ignored; an empty table gives no rows.
     """
-    shards = partitions(docs)
-    parts = 4 * shards  # groups of documents; each sends at most one row to a shard
+    # Groups of documents and shards hold a bounded number of bytes however large the table is; a group sends at most one row to a shard.
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    shards = partitions(docs, size, SHARD_BYTES)
+    parts = partitions(docs, size, GROUP_BYTES)
+    parts = max(parts, 4 * partitions(docs))
     own = [F.struct(*rest).alias("rest")] if rest else []
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
     texts = texts.select(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("text"))), F.lit(parts)).cast("int").alias("part"), "id", "text", *(["rest"] if rest else []))
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         part = table["part"][0].as_py()
         _, _, text, _ = ordered(table)
         _, _, h = anchors(*text_buffer(text))
@@ -203,7 +208,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(dict(zip(("part", "repeated", "hot"), zip(*rows)))).cast(_REPEATED) if rows else _REPEATED.empty_table()
 
     def send_fragments(table: pa.Table, replies: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         if not table.num_rows or not replies.num_rows:
             return _FRAGMENTS.empty_table()
         part = table["part"][0].as_py()
@@ -236,7 +241,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(dict(zip(_FRAGMENTS.names, zip(*rows)))).cast(_FRAGMENTS)
 
     def sort_shard(table: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         source, hs, docs_, places, sizes, datas, rows = [], [], [], [], [], [], []
         for part, h, doc, place, size, data, flagged in zip(*(table[c].to_pylist() for c in _FRAGMENTS.names[1:])):
             if flagged:
@@ -285,7 +290,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(dict(zip(_FIRSTS.names, zip(*rows)))).cast(_FIRSTS) if rows else _FIRSTS.empty_table()
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         if not table.num_rows:
             return _KEPT.empty_table()
         ids, number, text, by_id = ordered(table)
@@ -332,11 +337,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
-def _give_back() -> None:
-    """Memory that Arrow holds from the last group goes back to the system; a worker serves many groups."""
-    pa.default_memory_pool().release_unused()
-
-
 def _isin(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(h), bool)
