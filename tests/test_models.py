@@ -175,3 +175,62 @@ def test_registered_models_are_fitted_whole(spark, monkeypatch):
         with pytest.raises(Done):
             getattr(q_models, name)(spark, "")
         assert fitted[name].items() >= wanted.items()
+
+
+def test_models_fitted_together_equal_single_fits(spark, data, monkeypatch):
+    """Every model takes the steps it would take alone, in as many passes as the slowest needs."""
+    from tsfoundry.operators.models import linear_quantile
+
+    df, *_ = data
+    members = [F.lit(True), F.col("idx") < 200, (F.col("idx") >= 100) & (F.col("idx") < 300)]
+    make = lambda a, qs: LinearQuantile(["x", "z"], alpha=a, quantiles=qs)
+    asked = [(0.0, (0.5,), 0), (0.3, (0.1, 0.9), 1), (50.0, (0.5,), 1), (0.02, (0.5,), 2), (0.0, (0.25,), 2)]
+    passes = []
+    plain = linear_quantile.partition_sums
+    monkeypatch.setattr(linear_quantile, "partition_sums", lambda *a: passes.append(1) or plain(*a))
+    alone, longest = [], 0
+    for a, qs, g in asked:
+        passes.clear()
+        alone.append(make(a, qs).fit(df.filter(members[g])))
+        longest = max(longest, len(passes))
+    passes.clear()
+    together = [make(a, qs) for a, qs, _ in asked]
+    LinearQuantile.fit_together(together, [g for *_, g in asked], members, df)
+    assert len(passes) == longest
+    for one, other in zip(alone, together):
+        for q in one.quantiles:
+            assert np.allclose(one.coef[q], other.coef[q], rtol=1e-6, atol=1e-9) and one.loss[q] == pytest.approx(other.loss[q], rel=1e-9)
+
+
+def test_tune_losses_equal_single_fits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, i, float(x), float(2 * x + rng.normal())) for s, n in (("a", 90), ("b", 60)) for i, x in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "series_id string, idx long, x double, y double")
+    make = lambda p: LinearQuantile(["x"], alpha=p["alpha"], quantiles=(0.5,))
+    space = {"alpha": {"type": "float", "low": 0.0, "high": 2.0}}
+    got = {(r.trial, r.fold): (r.params, r.loss) for r in tune.tune(make, space, df, K, "idx", 2, 2, 10, scored_rows=F.col("idx") % 3 != 0).collect()}
+    assert len(got) == 4
+    import json
+
+    from tsfoundry.operators.split import TESTS_IN, TRAINS_FROM, fold_rows
+
+    marked = fold_rows(df, K, "idx", 2, 10)
+    spans = {(r.series_id, r.f): (r.n, r.last) for r in marked.filter(f"{TESTS_IN} IS NOT NULL").groupBy("series_id", F.col(TESTS_IN).alias("f")).agg(F.count("*").alias("n"), F.max("idx").alias("last")).collect()}
+    assert spans == {("a", 0): (10, 79), ("a", 1): (10, 89), ("b", 0): (10, 49), ("b", 1): (10, 59)}
+    for (trial, fold), (params, loss) in got.items():
+        ends = {"a": 90 - (2 - fold) * 10, "b": 60 - (2 - fold) * 10}
+        train = marked.filter(F.col(TRAINS_FROM) <= fold)  # in the same order: a median has flat stretches
+        assert {r.series_id: r.m + 1 for r in train.groupBy("series_id").agg(F.max("idx").alias("m")).collect()} == ends
+        model = make(json.loads(params)).fit(train)
+        test = [(x, y) for s, i, x, y in rows if ends[s] <= i < ends[s] + 10 and i % 3]
+        b = model.coef[0.5]
+        want = np.mean([0.5 * abs(y - b[0] - b[1] * x) for x, y in test])
+        assert loss == pytest.approx(want, rel=1e-6)
+
+
+def test_fit_leaves_a_shared_cache_alone(spark, data):
+    df = data[0].filter("idx < 300").persist()
+    df.count()
+    LinearQuantile(["x"], quantiles=(0.5,), steps=2).fit(df)
+    assert "InMemoryTableScan" in df.groupBy("series_id").count()._jdf.queryExecution().executedPlan().toString()
+    df.unpersist()

@@ -30,10 +30,10 @@ def chunk_size(reach: int) -> int:
 
 
 def with_halo(
-    df: DataFrame, idx: str, lookback: int, lookahead: int = 0, chunk: int | None = None
+    df: DataFrame, idx: str, lookback: int | Column, lookahead: int = 0, chunk: int | None = None
 ) -> DataFrame:
-    """Copy every row into each chunk whose rows can see it."""
-    size = chunk or chunk_size(lookback + lookahead)
+    """Copy every row into each chunk whose rows can see it; a column as ``lookback`` differs by key."""
+    size = chunk or (DEFAULT_CHUNK if isinstance(lookback, Column) else chunk_size(lookback + lookahead))
     i = F.col(idx)
     targets = F.sequence(floor_div(i - lookahead, size), floor_div(i + lookback, size))
     return df.select("*", F.explode(targets).alias(CHUNK)).withColumn(

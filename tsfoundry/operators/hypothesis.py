@@ -54,11 +54,6 @@ def f_test(bound: float, free: float, d1: int, d2: int) -> dict:
     return {"statistic": stat, "p_value": None if stat is None else mathx.f_sf(max(stat, 0.0), d1, d2)}
 
 
-def max_length(df: DataFrame, keys: Sequence[str]) -> int:
-    """Length of the longest series: one number."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def trend(df: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
     """Add ``t``, the 0-based row position, and ``n``, the series length."""
     out = row_numbers(df, keys, idx, out="__rn", total="n")
@@ -111,22 +106,23 @@ def adf(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0)
     """
     d = difference(df.select(*keys, idx, value), keys, idx, value, diff)
     d = trend(d, keys, idx)
-    top = adf_lags(max_length(d, keys))
     c = centred(d, keys, [value]).select(*keys, idx, "t", "n", F.col(f"__d_{value}").alias("y"))
 
     def design(a: dict[str, np.ndarray]) -> np.ndarray:
-        y = a["y"]
+        y, top = a["y"], adf_lags(int(a["n"][0]))
         dy = y - lagged(y, 1)
         past = [np.nan_to_num(lagged(dy, k)) for k in range(1, top + 1)]
         return np.column_stack([lagged(y, 1), np.ones_like(y), *past, dy])
 
     def common(a: dict[str, np.ndarray]) -> np.ndarray:
-        return np.where((a["t"] > np.minimum(top, _lag_cap(a["n"])))[:, None], design(a), np.nan)
+        return np.where((a["t"] > adf_lags(int(a["n"][0])))[:, None], design(a), np.nan)
 
-    main = lag_gram(c, keys, idx, ["y", "t", "n"], top + 1, common)
-    first = c.filter(F.col("t") <= top + 1).groupBy(*keys).agg(
+    n = F.col("n").cast("double")
+    cap = F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2)).cast("int")
+    main = lag_gram(c, keys, idx, ["y", "t", "n"], cap + 2, common)
+    first = c.filter(F.col("t") <= cap + 2).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("t", "y"))).alias("head"), F.max("n").alias("len")
-    )  # at most top + 2 values per key
+    )  # a few values per key more than lags
     joined = main.join(first.select(*keys, F.transform("head", lambda s: s["y"]).alias("head"), "len"), list(keys))
     fields = ", ".join(f"`{k}` {joined.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -142,10 +138,6 @@ def adf(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0)
     return joined.mapInPandas(run, f"{fields}, lags int, {RESULT}")
 
 
-def _lag_cap(n: np.ndarray) -> np.ndarray:
-    return np.maximum(0, np.minimum(np.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
-
-
 def _adf_finish(m: np.ndarray, n: int, length: int, head: np.ndarray) -> dict:
     cap = adf_lags(length)
     y_col = m.shape[0] - 1
@@ -181,18 +173,21 @@ _KPSS_CRIT, _KPSS_P = [0.347, 0.463, 0.574, 0.739], [0.10, 0.05, 0.025, 0.01]
 
 
 def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0) -> DataFrame:
-    """Level-stationarity test with data-dependent bandwidth."""
+    """Level-stationarity test with data-dependent bandwidth.
+
+    A few short lags give each series its bandwidth, which then is a column of
+    the second pass.
+    """
     d = difference(df.select(*keys, idx, value), keys, idx, value, diff)
-    # the bandwidth follows from a few short lags; the longest one is a number
-    short = max(1, int(max_length(d, keys) ** (2 / 9)))
-    row = autocovariances(d, keys, idx, value, short).withColumn("lags", _bandwidth_column(short))
-    reach = row.agg(F.max("lags")).first()[0] or 0
-    # a series may be shorter than the reach: its missing lags count as zero
+    length = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__len"))
+    short = F.greatest(F.lit(1), F.floor(F.pow(F.col("__len").cast("double"), F.lit(2 / 9))))
+    row = autocovariances(attach(d, length, keys, spread=[idx]), keys, idx, value, short).withColumn("lags", _bandwidth_column())
     bandwidths = row.select(*keys, "lags")
     c = centred(d, keys, [value])
     steps = running_sum(c, keys, idx, {"s": F.col(f"__d_{value}")})
     eta = steps.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    cov = autocovariances(d, keys, idx, value, max(1, reach)).join(eta, list(keys)).join(bandwidths, list(keys))
+    wide = attach(d, bandwidths.withColumnRenamed("lags", "__reach"), keys, spread=[idx])
+    cov = autocovariances(wide, keys, idx, value, F.greatest(F.lit(1), F.col("__reach"))).join(eta, list(keys)).join(bandwidths, list(keys))
     fields = ", ".join(f"`{k}` {cov.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
@@ -202,8 +197,9 @@ def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0
                 rec = r._asdict()
                 n, sums = rec["n"], np.asarray(rec["gamma"], dtype=float) * rec["n"]
                 lags = int(rec["lags"])
-                weights = 1 - np.arange(1, lags + 1) / (lags + 1)
-                s_hat = (sums[0] + 2 * weights @ sums[1:lags + 1]) / n
+                near = sums[1:lags + 1]
+                weights = 1 - np.arange(1, len(near) + 1) / (lags + 1)
+                s_hat = (sums[0] + 2 * weights @ near) / n
                 # a constant series has no answer
                 stat = rec["ss"] / n**2 / s_hat if s_hat > 0 else None
                 p = None if stat is None else mathx.interpolate(stat, _KPSS_CRIT, _KPSS_P)
@@ -213,14 +209,13 @@ def kpss(df: DataFrame, keys: Sequence[str], idx: str, value: str, diff: int = 0
     return cov.mapInPandas(run, f"{fields}, lags int, {RESULT}")
 
 
-def _bandwidth_column(short: int) -> Column:
-    """Automatic lag order from the columns ``n`` and ``gamma``."""
+def _bandwidth_column() -> Column:
+    """Automatic lag order from the columns ``n`` and ``gamma``, whose lags are the ones it uses."""
     n = F.col("n").cast("double")
-    used = F.floor(F.pow(n, F.lit(2 / 9)))
-    s0, s1 = F.col("gamma")[0], F.lit(0.0)
-    for i in range(1, short + 1):
-        term = F.when(used >= i, 2 * F.col("gamma")[i]).otherwise(0.0)
-        s0, s1 = s0 + term, s1 + i * term
+    used = F.slice("gamma", 2, F.greatest(F.lit(0), F.size("gamma") - 1))
+    far = F.transform(used, lambda g, i: g * (i + 1))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    s0, s1 = F.col("gamma")[0] + 2 * total(used), 2 * total(far)
     ratio = s1 / F.nullif(s0, F.lit(0.0))
     lags = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3)))
     return F.coalesce(F.least(lags, F.col("n") - 1), F.lit(0)).cast("int")

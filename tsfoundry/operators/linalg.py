@@ -56,7 +56,7 @@ def from_zero(b: np.ndarray, inv: np.ndarray, mean: np.ndarray) -> tuple[np.ndar
 
 
 def lag_gram(
-    df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], lookback: int,
+    df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], lookback: int | Column,
     design: Callable[[dict[str, np.ndarray]], np.ndarray],
 ) -> DataFrame:
     """Gram matrix of a design that looks back over ``lookback`` rows.
@@ -64,6 +64,7 @@ def lag_gram(
     ``design`` maps the column arrays of one ordered chunk (halo included) to
     a matrix with one line per row; lines holding NaN are left out. Partial
     matrices per (key, chunk), one per 4096 or more rows, are added up per key.
+    Where ``lookback`` is a column, the matrix may differ in size by key.
     """
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([

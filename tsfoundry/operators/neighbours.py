@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from tsfoundry.functions.time import floor_div
 from tsfoundry.operators.chunking import over_chunks, plain_objects, row_numbers
 from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.quantiles import value_cumcounts
+from tsfoundry.operators.ranking import numbered
 from tsfoundry.session import cut_lineage
 
 BLOCK = "__block"
@@ -148,63 +149,153 @@ def knn_impute(
     return out.select(*df.columns)
 
 
-def bds(df: DataFrame, keys: Sequence[str], idx: str, value: str, distance: float = 1.5, size: int = 4096) -> DataFrame:
-    """Test of independence, embedding dimension 2, on a gap-free series."""
-    stats = df.groupBy(*keys).agg(
-        (F.stddev_samp(value) * distance).alias("eps"), F.count(value).alias("n"), F.min(idx).alias("__first")
-    )
-    d = attach(df.select(*keys, idx, F.col(value).cast("double").alias("x")), stats, keys)
-    pairs = over_chunks(d, keys, idx, 0, lambda w: {"z": F.lead("x", 1).over(w)}, lookahead=1)
-    cut = cut_lineage(blocks(pairs, keys, idx, "x", size).select(*keys, idx, BLOCK, "x", "z", "eps", "n", "__first"))
-    ranges = cut.groupBy(*keys, BLOCK).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("eps").alias("e"))
-    a, b = ranges.alias("a"), ranges.alias("b")
-    same = F.lit(True)
-    for c in keys:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    # block ranges only: one row per `size` values
-    tiles = a.join(b, same & (F.col(f"a.{BLOCK}") <= F.col(f"b.{BLOCK}")) & (F.col("b.lo") - F.col("a.hi") < F.col("a.e")))
-    tiles = tiles.select(*[F.col(f"a.{c}").alias(c) for c in keys], F.col(f"a.{BLOCK}").alias("ta"), F.col(f"b.{BLOCK}").alias("tb"))
-    left = cut.join(tiles.withColumnRenamed("ta", BLOCK), [*keys, BLOCK]).withColumnRenamed(BLOCK, "ta")
-    right = cut.join(tiles.withColumnRenamed("tb", BLOCK), [*keys, BLOCK]).withColumnRenamed(BLOCK, "tb")
-
-    schema = T.StructType([
-        *[df.schema[c] for c in keys], T.StructField(idx, df.schema[idx].dataType),
-        T.StructField("hits", T.LongType()), T.StructField("late", T.LongType()), T.StructField("joint", T.LongType()),
-    ])
+def prefix_below(values: np.ndarray, prefix: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of the first ``prefix[i]`` values lie below ``limit[i]``, for all i at once.
 
-    def count(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        """Per row of one block: matches in the other, with and without the first row."""
-        if p.empty or q.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields], dtype=object)
-        q = q.rename(columns=lambda n: n.removeprefix(OTHER))
-        eps = p["eps"].iloc[0]
-        own = p["ta"].iloc[0] == p["tb"].iloc[0]
-        outs = [_count(p, q, eps)] + ([] if own else [_count(q, p, eps)])
-        return plain_objects(pd.concat(outs)[[f.name for f in schema.fields]], keys)
-
-    def _count(p: pd.DataFrame, q: pd.DataFrame, eps: float) -> pd.DataFrame:
-        hits, joint, late = [], [], []
-        x, z = q["x"].to_numpy(), q["z"].to_numpy()
-        later = (q[idx] > q["__first"]).to_numpy()
-        for start in range(0, len(p), 256):
-            px, pz = p["x"].to_numpy()[start:start + 256], p["z"].to_numpy()[start:start + 256]
-            near = np.abs(px[:, None] - x[None, :]) < eps
-            with np.errstate(invalid="ignore"):
-                both = near & (np.abs(pz[:, None] - z[None, :]) < eps)
-            hits.append(near.sum(1)), joint.append(both.sum(1)), late.append((near & later).sum(1))
-        out = p[[*keys, idx]].copy()
-        out["hits"], out["late"], out["joint"] = np.concatenate(hits), np.concatenate(late), np.concatenate(joint)
+    A wavelet matrix of the values' ranks: one stable split per bit, from the
+    highest, and one look-up per question and bit.
+    """
+    out = np.zeros(len(prefix), np.int64)
+    if not len(values):
         return out
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    below = np.searchsorted(values[order], limit, side="left")
+    everything = below >= len(values)
+    out[everything] = prefix[everything]
+    low, high = np.zeros(len(prefix), np.int64), prefix.astype(np.int64).copy()
+    for bit in range(int(len(values) - 1).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - one)))
+        zl, zh = zeros[low], zeros[high]
+        up = (below >> bit) & 1 == 1
+        out += np.where(up & ~everything, zh - zl, 0)
+        low = np.where(up, zeros[-1] + low - zl, zl)
+        high = np.where(up, zeros[-1] + high - zh, zh)
+        rank = np.concatenate((rank[one == 0], rank[one == 1]))
+    return out
 
-    tile = [*keys, "ta", "tb"]
-    others = renamed(right).groupBy(*[OTHER + c for c in tile])
-    counted = left.groupBy(*tile).cogroup(others).applyInPandas(count, schema)
-    per_row = attach(counted.groupBy(*keys, idx).agg(*[F.sum(c).alias(c) for c in ("hits", "late", "joint")]), stats, keys)
-    h = F.col("hits").cast("double")
-    sums = per_row.groupBy(*keys, "n").agg(
-        F.sum(h).alias("s"), F.sum(h * h).alias("s2"), F.sum("joint").alias("j"),
-        F.sum(F.when(F.col(idx) > F.col("__first"), F.col("late"))).alias("l"),
+
+def close_counts(df: DataFrame, keys: Sequence[str], idx: str, value: str, eps: str) -> DataFrame:
+    """(keys, idx, rank, below, upto) of a column without nulls.
+
+    ``rank`` is the row's place, from 0, by value; the values less than ``eps``
+    away from its own are those of rank ``below`` to ``upto`` - 1. All values
+    and all values moved up by ``eps`` are sorted together: the values before a
+    moved one are its ``upto``, the moved ones before a value are its ``below``.
+    """
+    placed = numbered(df.select(*keys, idx, F.col(value).alias("__v"), F.col(eps).alias("__e")), keys, ["__v", idx], out="__r").withColumn("__r", F.col("__r") - 1)
+    kinds = F.array(F.struct(F.lit(1).alias("k"), F.col("__v").alias("at")), F.struct(F.lit(0).alias("k"), (F.col("__v") + F.col("__e")).alias("at")))
+    both = placed.select(*keys, idx, "__r", F.explode(kinds).alias("s")).select(*keys, idx, "__r", "s.k", "s.at")
+    merged = numbered(both, keys, ["at", "k", "__r"], out="__m").withColumn("__o", F.col("__m") - 1 - F.col("__r"))
+    return merged.groupBy(*keys, idx).agg(
+        F.max("__r").alias("rank"), F.max(F.when(F.col("k") == 1, F.col("__o"))).alias("below"),
+        F.max(F.when(F.col("k") == 0, F.col("__o"))).alias("upto"),
+    )
+
+
+def box_counts(points: DataFrame, keys: Sequence[str], size: int | None = None) -> DataFrame:
+    """(keys, joint): points in all boxes of ``points(keys, total, x, z, x_lo, x_hi, z_lo, z_hi)``.
+
+    Coordinates are places from 0 in 0 ... total - 1, each x and each z taken at most once in a
+    key; the box of a point holds those with x_lo <= x < x_hi and z_lo <= z < z_hi.
+    A box is the difference of four corners, and a corner asks for the points
+    left of and below it. With the points cut into strips of ``size`` places
+    along x and along z, those are: the ones in the corner's own x strip,
+    counted there; of the strips further left, the ones in its own z strip,
+    counted there; and whole strips left and below, from the sums of a grid.
+    ``size`` is about the square root of ``total``, so the strips and the
+    grid have no more rows than the points; a strip that many corners
+    ask is counted in several tasks.
+    """
+    side = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(F.greatest("total", F.lit(1))))))
+    side = F.lit(size) if size else F.greatest(F.lit(4096.0), side)
+    own = points.withColumn("__size", side.cast("long"))
+    # corners (a, b) with their sign: two b for each a
+    ends = F.array(F.struct(F.col("x_hi").alias("a"), F.lit(1).alias("sign")), F.struct(F.col("x_lo").alias("a"), F.lit(-1).alias("sign")))
+    corners = own.select(*keys, "__size", "x", "z_lo", "z_hi", F.explode(ends).alias("c")).select(*keys, "__size", "x", "z_lo", "z_hi", "c.*")
+    spots = own.select(*keys, "__size", "x", "z")
+    heights = F.array(F.struct(F.col("z_hi").alias("b"), F.col("sign").alias("s")), F.struct(F.col("z_lo").alias("b"), (-F.col("sign")).alias("s")))
+    single = corners.select(*keys, "__size", "x", "a", F.explode(heights).alias("c")).select(*keys, "__size", "x", "a", "c.*")
+    strip = lambda c: floor_div(F.col(c), F.col("__size"))
+
+    # in the own x strip: points by x, asked for x < a and z < b
+    first = _strip_counts(
+        spots.select(*keys, "__size", strip("x").alias("__strip"), F.col("x").alias("u"), F.col("z").alias("v")),
+        corners.select(*keys, strip("a").alias("__strip"), "x", F.col("a").alias("u"), F.col("z_lo").alias("lo"), F.col("z_hi").alias("hi"), "sign"), keys,
     )
+    # in the own z strip: points by z, asked for z < b and x strip < that of a
+    second = _strip_counts(
+        spots.select(*keys, "__size", strip("z").alias("__strip"), F.col("z").alias("u"), strip("x").alias("v")),
+        single.select(*keys, strip("b").alias("__strip"), "x", F.col("b").alias("u"), strip("a").alias("hi"), F.lit(0).cast("long").alias("lo"), F.col("s").alias("sign")), keys,
+    )
+    # whole strips: the grid's sums up to each cell, times the signs of the corners in it
+    filled = spots.groupBy(*keys, strip("x").alias("i"), strip("z").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    asked = single.groupBy(*keys, strip("a").alias("i"), strip("b").alias("j")).agg(F.sum("s").alias("w")).filter("w <> 0")
+    whole = own.groupBy(*keys).agg(F.max(floor_div(F.col("total"), F.col("__size"))).alias("__last"))
+    rows = filled.select(*keys, "i").distinct()
+    dense = rows.join(whole, list(keys)).select(*keys, "i", F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias("j"))
+    left = Window.partitionBy(*keys, "i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    line = dense.join(filled, [*keys, "i", "j"], "left").withColumn("n", F.coalesce(F.sum("n").over(left), F.lit(0)))
+    # filled rows and asked cells of one column j, in the order of i; an asked cell does not see row i itself
+    mixed = line.select(*keys, "i", "j", "n", F.lit(None).cast("long").alias("w")).unionByName(asked.select(*keys, "i", "j", F.lit(0).cast("long").alias("n"), "w"))
+    above = Window.partitionBy(*keys, "j").orderBy("i", F.col("w").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    third = mixed.withColumn("c", F.sum("n").over(above)).filter("w IS NOT NULL").groupBy(*keys).agg(F.sum(F.col("w") * F.col("c")).alias("joint"))
+    return first.unionByName(second).unionByName(third).groupBy(*keys).agg(F.sum("joint").alias("joint"))
+
+
+def _strip_counts(spots: DataFrame, asks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, joint): signed counts of a strip's points with u below an ask's and lo <= v < hi."""
+    where = [*keys, "__strip"]
+    load = asks.groupBy(*where).agg(F.count(F.lit(1)).alias("__asks"))
+    shares = spots.groupBy(*where).agg(F.max("__size").alias("__size")).join(load, where)
+    shares = shares.select(*where, F.ceil(F.col("__asks") / (8 * F.col("__size"))).cast("int").alias("__shares"))  # one row per strip
+    dealt = attach(asks, shares, where, spread=["x", "sign"]).withColumn("__share", F.pmod(F.xxhash64("x", "sign", "hi"), F.col("__shares")).cast("int"))
+    copied = spots.join(shares, where).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
+    none = F.lit(None).cast("long")
+    rows = copied.select(*where, "__share", "u", F.col("v").alias("lo"), none.alias("hi"), F.lit(0).alias("sign")).unionByName(
+        dealt.select(*where, "__share", "u", "lo", "hi", "sign")
+    )
+    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("joint", T.LongType())])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        point = (pdf["sign"] == 0).to_numpy()
+        u, v = pdf["u"].to_numpy()[point], pdf["lo"].to_numpy()[point]
+        order = np.argsort(u, kind="stable")
+        u, v, ask = u[order], v[order], pdf[~point]
+        prefix = np.searchsorted(u, ask["u"].to_numpy(), side="left")
+        got = prefix_below(v, prefix, ask["hi"].to_numpy(np.int64)) - prefix_below(v, prefix, ask["lo"].to_numpy(np.int64))
+        return plain_objects(pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "joint": [int((got * ask["sign"].to_numpy()).sum())]}), keys)
+
+    return rows.groupBy(*where, "__share").applyInPandas(count, schema)
+
+
+def bds(df: DataFrame, keys: Sequence[str], idx: str, value: str, distance: float = 1.5, size: int | None = None) -> DataFrame:
+    """Test of independence, embedding dimension 2, on a gap-free series.
+
+    Pairs closer than ``distance`` standard deviations are counted, not listed:
+    per row from two sorts, and for pairs of neighbouring values from the counts
+    of points in boxes of ranks.
+    """
+    stats = df.groupBy(*keys).agg(
+        (F.stddev_samp(value) * distance).alias("eps"), F.count(value).alias("n"), F.min(idx).alias("__first"),
+        F.min_by(value, idx).cast("double").alias("__x0"),
+    )
+    d = attach(df.select(*keys, idx, F.col(value).cast("double").alias("x")), stats, keys)
+    near = close_counts(d, keys, idx, "x", "eps")
+    ahead = {"z": "rank", "z_lo": "below", "z_hi": "upto"}
+    pairs = over_chunks(near, keys, idx, 0, lambda w: {n: F.lead(c, 1).over(w) for n, c in ahead.items()}, lookahead=1)
+    per_row = cut_lineage(d.join(pairs, [*keys, idx]))
+    boxes = per_row.filter(F.col("z").isNotNull()).select(
+        *keys, F.col("n").alias("total"), F.col("rank").alias("x"), "z", F.col("below").alias("x_lo"), F.col("upto").alias("x_hi"), "z_lo", "z_hi",
+    )
+    joint = box_counts(boxes, keys, size)
+    hits = (F.col("upto") - F.col("below")).cast("double")
+    late = hits - (F.abs(F.col("x") - F.col("__x0")) < F.col("eps")).cast("double")
+    sums = per_row.groupBy(*keys, "n").agg(
+        F.sum(hits).alias("s"), F.sum(hits * hits).alias("s2"), F.sum(F.when(F.col(idx) > F.col("__first"), late)).alias("l"),
+    ).join(joint.withColumnRenamed("joint", "j"), list(keys), "left").withColumn("j", F.coalesce("j", F.lit(0)))
     n = F.col("n").cast("double")
     c_full = (F.col("s") - n) / (n * (n - 1))
     c_late = (F.col("l") - (n - 1)) / ((n - 1) * (n - 2))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,34 +21,54 @@ def centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
     return joined.withColumns({f"__d_{c}": F.col(c) - F.col(f"__m_{c}") for c in cols})
 
 
-def lagged_sums(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int) -> DataFrame:
+def lag_sums_of_block(x: np.ndarray, own: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of ``x[t] * x[t - k]`` over the block's own places t, for k = 0 .. lags; unknown values count as zero."""
+    z = np.where(np.isfinite(x), x, 0.0)
+    mine = np.where(own, z, 0.0)
+    return np.array([mine[k:] @ z[: len(z) - k] if k < len(z) else 0.0 for k in range(lags + 1)])
+
+
+def lagged_sums(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int | Column) -> DataFrame:
     """Long (keys, lag, n, g): sums of lagged products of the centred series / n.
 
-    Each row meets its ``max_lag`` predecessors inside one chunk; the products
-    are added up in the same stage, before anything is shuffled.
+    A chunk with a halo of ``max_lag`` rows gives one vector of sums, so no
+    more than chunks x lags numbers are shuffled after the chunks are made.
+    ``max_lag`` may be a column that is constant in each key. ``n`` counts
+    known values; lags that reach beyond the series are left out.
     """
-    d = centred(df.select(*keys, idx, value), keys, [value])
-    name = f"__d_{value}"
-    spread = over_chunks(
-        d, keys, idx, max_lag, lambda w: {"__past": F.collect_list(name).over(w.rowsBetween(-max_lag, 0))}
-    )
-    products = spread.select(*keys, name, F.posexplode(F.reverse("__past")).alias("lag", "__p"))
-    sums = products.groupBy(*keys, "lag").agg(
-        F.sum(F.col(name) * F.col("__p")).alias("__s"), F.count(F.lit(1)).alias("__k")
+    reach = max_lag if isinstance(max_lag, Column) else F.lit(max_lag)
+    d = centred(df.select(*keys, idx, value, reach.cast("int").alias("__lags")), keys, [value])
+    rows = d.select(*keys, idx, "__lags", F.col(f"__d_{value}").alias("__x"))
+    halo = with_halo(rows, idx, F.col("__lags") if isinstance(max_lag, Column) else max_lag)
+    schema = T.StructType([
+        *[df.schema[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
+    ])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[OWN].to_numpy()
+        at = pdf[idx].to_numpy() - pdf[idx].min()
+        x, mine = np.full(at.max() + 1, np.nan), np.zeros(at.max() + 1, bool)
+        x[at], mine[at] = pdf["__x"].to_numpy(dtype=float), own
+        sums = lag_sums_of_block(x, mine, int(pdf["__lags"].iloc[0]))
+        return plain_objects(pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [int((mine & np.isfinite(x)).sum())], "s": [sums]}), keys)
+
+    parts = halo.groupBy(*keys, CHUNK).applyInPandas(block, schema)
+    sums = parts.select(*keys, "n", F.posexplode("s").alias("lag", "__s")).groupBy(*keys, "lag").agg(
+        F.sum("__s").alias("__s"), F.sum("n").alias("n")
     )
-    n = F.max(F.when(F.col("lag") == 0, F.col("__k"))).over(Window.partitionBy(*keys))  # max_lag + 1 rows
-    return sums.select(*keys, "lag", n.alias("n"), (F.col("__s") / n).alias("g"))
+    return sums.filter(F.col("lag") < F.greatest("n", F.lit(1))).select(*keys, "lag", "n", (F.col("__s") / F.nullif("n", F.lit(0))).alias("g"))
 
 
 def autocovariances(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int | Column
 ) -> DataFrame:
-    """One row per key: ``n`` and ``gamma``, autocovariances of lags 0..max_lag."""
+    """One row per key: ``n`` and ``gamma``, autocovariances of lag 0 and on, up to ``max_lag``; beyond the series they are zero."""
     long = lagged_sums(df, keys, idx, value, max_lag)
-    pairs = F.map_from_entries(F.collect_list(F.struct("lag", "g")))
-    one = long.groupBy(*keys).agg(F.max("n").alias("n"), pairs.alias("__m"))
-    lags = F.sequence(F.lit(0), F.lit(max_lag))
-    return one.select(*keys, "n", F.transform(lags, lambda k: F.coalesce(F.col("__m")[k], F.lit(0.0))).alias("gamma"))
+    one = long.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("lag", "g"))).alias("__m"))  # max_lag + 1 values
+    gamma = F.transform("__m", lambda p: F.coalesce(p["g"], F.lit(0.0)))
+    if not isinstance(max_lag, Column):
+        gamma = F.concat(gamma, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(max_lag + 1) - F.size("__m"))))
+    return one.select(*keys, "n", gamma.alias("gamma"))
 
 
 def acf(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_lag: int) -> DataFrame:

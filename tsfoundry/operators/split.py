@@ -11,6 +11,9 @@ from tsfoundry.functions.time import DAY, HOUR, WEEK, epoch, from_epoch, shift_t
 from tsfoundry.operators.chunking import row_numbers
 from tsfoundry.operators.lookup import attach
 
+#: First fold a row trains in, and the fold it tests in.
+TRAINS_FROM, TESTS_IN = "__trains_from", "__tests_in"
+
 
 def split_fraction(df: DataFrame, keys: Sequence[str], idx: str, fraction: float) -> DataFrame:
     """Add ``part``: the first ``int(n * fraction)`` rows of a key train, the rest test."""
@@ -42,18 +45,35 @@ def tail_validation(df: DataFrame, keys: Sequence[str], idx: str, eval_fraction:
     )
 
 
-def time_series_split(
+def fold_rows(
     df: DataFrame, keys: Sequence[str], idx: str, n_splits: int, test_size: int, gap: int = 0
 ) -> DataFrame:
-    """Long (row, fold, part): expanding training rows, ``test_size`` test rows."""
+    """Expanding splits without copies: every row once, with the first fold it trains in and the fold it tests in.
+
+    A row trains in its first fold and all later ones; null where it trains,
+    or tests, in none. Test parts of ``test_size`` rows follow each other up to
+    the key's last row; ``gap`` rows before them do not train.
+    """
     numbered = row_numbers(df, keys, idx, out="__rn", total="__n")
-    rows = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold"))
-    start = F.col("__n") - (n_splits - F.col("fold")) * test_size  # rows before the test part
-    part = (
-        F.when((F.col("__rn") > start) & (F.col("__rn") <= start + test_size), "test")
-        .when(F.col("__rn") <= start - gap, "train")
-    )
-    return rows.withColumn("part", part).filter(F.col("part").isNotNull()).drop("__rn", "__n")
+    after = F.col("__n") - F.col("__rn")  # rows of the key behind this one
+    ahead = F.floor(after / test_size).cast("int")
+    tests = F.when(ahead < n_splits, n_splits - 1 - ahead)
+    # trains in fold f if at least (n_splits - f) * test_size + gap rows lie behind it
+    room = F.floor((after - gap) / test_size).cast("int")
+    first = F.greatest(F.lit(0), n_splits - room)
+    return numbered.withColumns({TESTS_IN: tests, TRAINS_FROM: F.when((first < n_splits) & (after >= gap), first)}).drop("__rn", "__n")
+
+
+def time_series_split(
+    df: DataFrame, keys: Sequence[str], idx: str, n_splits: int, test_size: int, gap: int = 0
+) -> DataFrame:
+    """Long (row, fold, part): expanding training rows, ``test_size`` test rows; only folds a row belongs to are listed."""
+    rows = fold_rows(df, keys, idx, n_splits, test_size, gap)
+    trains = F.when(F.col(TRAINS_FROM).isNotNull(), F.transform(F.sequence(TRAINS_FROM, F.lit(n_splits - 1)), lambda f: F.struct(f.alias("fold"), F.lit("train").alias("part"))))
+    tests = F.when(F.col(TESTS_IN).isNotNull(), F.array(F.struct(F.col(TESTS_IN).alias("fold"), F.lit("test").alias("part"))))
+    none = F.array().cast("array<struct<fold:int,part:string>>")
+    listed = rows.withColumn("__f", F.explode(F.concat(F.coalesce(trains, none), F.coalesce(tests, none))))
+    return listed.select(*df.columns, F.col("__f.fold").alias("fold"), F.col("__f.part").alias("part"))
 
 
 def fold_table(

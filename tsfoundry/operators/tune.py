@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tsfoundry.operators.chunking import row_numbers
 from tsfoundry.operators.metrics import pinball_term, point_errors
 from tsfoundry.operators.models.naive import quantile_column
-from tsfoundry.operators.split import time_series_split
+from tsfoundry.operators.split import TESTS_IN, TRAINS_FROM, fold_rows
+from tsfoundry.session import cut_lineage
 
 
 def sample_space(space: dict[str, dict], rng: random.Random) -> dict:
@@ -41,30 +42,41 @@ def tune(
 ) -> DataFrame:
     """Random search: (trial, params, fold, loss), pinball loss of the median.
 
-    Splits are expanding; ``scored_rows`` limits the rows that count. All
-    (trial, fold) fits run as concurrent Spark jobs.
+    Splits are expanding; ``scored_rows`` limits the rows that count. A row
+    says in which folds it trains and in which it tests, so it is not copied.
+    Models that can be fitted together share their passes over all trials and
+    folds, and one more pass scores them all; others are fitted one by one.
     """
     rng = random.Random(seed)
     trials = [sample_space(space, rng) for _ in range(n_trials)]
-    split = time_series_split(df, keys, idx, n_splits, test_size).persist()
-
-    def one(job: tuple[int, int]) -> tuple[int, str, int, float]:
-        trial, fold = job
-        part = split.filter(F.col("fold") == fold)
-        model = make_model(trials[trial]).fit(part.filter(F.col("part") == "train"))
-        test = part.filter(F.col("part") == "test")
-        if scored_rows is not None:
-            test = test.filter(scored_rows)
-        loss = model.transform(test).agg(F.avg(pinball_term(F.lit(0.5), target, quantile_column(0.5)))).first()[0]
-        return trial, json.dumps(trials[trial], sort_keys=True), fold, loss
-
+    rows = cut_lineage(fold_rows(df, keys, idx, n_splits, test_size))
+    members = [F.col(TRAINS_FROM) <= f for f in range(n_splits)]
+    scored = scored_rows if scored_rows is not None else F.lit(True)
     jobs = [(t, f) for t in range(n_trials) for f in range(n_splits)]
-    try:
+    models = [make_model(trials[t]) for t, _ in jobs]
+
+    def loss_of(model, fold: int) -> Column:
+        term = pinball_term(F.lit(0.5), target, quantile_column(0.5))
+        return F.avg(F.when((F.col(TESTS_IN) == fold) & scored, term))
+
+    together = getattr(type(models[0]), "fit_together", None) if models else None
+    if together is not None:
+        together(models, [f for _, f in jobs], members, rows)
+        terms = []
+        for model, (_, fold) in zip(models, jobs):
+            e = F.col(target) - model.expression(0.5)
+            terms.append(F.avg(F.when((F.col(TESTS_IN) == fold) & scored, F.greatest(0.5 * e, -0.5 * e))))
+        losses = list(rows.agg(*terms).first()) if terms else []
+    else:
+        def one(i: int) -> float:
+            fold = jobs[i][1]
+            model = models[i].fit(rows.filter(members[fold]))
+            return model.transform(rows.filter(F.col(TESTS_IN) == fold)).agg(loss_of(model, fold)).first()[0]
+
         with ThreadPoolExecutor(parallelism) as pool:
-            rows = list(pool.map(one, jobs))
-    finally:
-        split.unpersist()
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, fold int, loss double")
+            losses = list(pool.map(one, range(len(jobs))))
+    out = [(t, json.dumps(trials[t], sort_keys=True), f, loss) for (t, f), loss in zip(jobs, losses)]
+    return df.sparkSession.createDataFrame(out, "trial int, params string, fold int, loss double")
 
 
 def trial_summary(trials: DataFrame) -> DataFrame:
