@@ -22,6 +22,36 @@ ab AS (SELECT series_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM t
 tr AS (SELECT tt.*, a + b * t AS fitted, y - (a + b * t) AS r FROM tt JOIN ab ON ab.series_id = tt.series_id)"""
 
 
+def det_sql(rows: list[list[str]]) -> str:
+    """Determinant of a matrix of SQL expressions, expanded along the first row."""
+    if len(rows) == 1:
+        return f"({rows[0][0]})"
+    parts = [f"{'-' if j % 2 else '+'} ({c}) * {det_sql([[*r[:j], *r[j + 1:]] for r in rows[1:]])}" for j, c in enumerate(rows[0])]
+    return "(" + " ".join(parts) + ")"
+
+
+def _least_squares_sql(source: str, by: str, name: str, xs: list[str]) -> str:
+    """CTEs ``{name}``: by, n, means, inverse cross products ``i_ab``, coefficients ``b_a`` and ``ssr`` of y on ``xs`` and a constant."""
+    k = len(xs)
+    cells = {(a, b): f"s_{min(a, b)}{max(a, b)}" for a in range(k) for b in range(k)}
+    products = [f"regr_sxx({xs[a]}, {xs[a]}) AS s_{a}{a}" if a == b else f"covar_pop({xs[a]}, {xs[b]}) * count(*) AS s_{a}{b}" for a in range(k) for b in range(a, k)]
+    toward = [f"covar_pop({x}, y) * count(*) AS c_{a}" for a, x in enumerate(xs)]
+    whole = det_sql([[cells[a, b] for b in range(k)] for a in range(k)])
+
+    def cofactor(a: int, b: int) -> str:
+        minor = [[cells[r, c] for c in range(k) if c != b] for r in range(k) if r != a]
+        return f"{'-' if (a + b) % 2 else ''}{det_sql(minor) if minor else '1.0'}"
+
+    inverse = ", ".join(f"{cofactor(a, b)} / {whole} AS i_{a}{b}" for a in range(k) for b in range(k))
+    slopes = ", ".join(" + ".join(f"i_{a}{b} * c_{b}" for b in range(k)) + f" AS b_{a}" for a in range(k))
+    return f"""
+{name}_s AS (SELECT {by}, CAST(count(*) AS DOUBLE) AS n, avg(y) AS m_y, {", ".join(f"avg({x}) AS m_{a}" for a, x in enumerate(xs))},
+ var_pop(y) * count(*) AS s_yy, {", ".join(products)}, {", ".join(toward)} FROM {source} GROUP BY {by}),
+{name}_i AS (SELECT *, {inverse} FROM {name}_s),
+{name}_b AS (SELECT *, {slopes} FROM {name}_i),
+{name} AS (SELECT *, s_yy - ({" + ".join(f"b_{a} * c_{a}" for a in range(k))}) AS ssr FROM {name}_b)"""
+
+
 def _sp(df, digits=6, keep=("series_id",)):
     return df.select(*keep, rnd("statistic", digits).alias("statistic"), rnd("p_value", digits).alias("p_value"))
 
@@ -73,9 +103,15 @@ def ljung_box_p_values(spark, sf):
     return out.select("series_id", "lags", rnd("p_value", 8).alias("p_value"))
 
 
-@query("pacf")
+@query("pacf", sql=_ACF.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT series_id, count(*) AS n FROM hourly GROUP BY 1),
+gg AS (SELECT p.series_id, list(s / (n.n - lag) ORDER BY lag) AS g FROM p JOIN n ON n.series_id = p.series_id GROUP BY 1),
+dl(series_id, k, a, phi, v, g) AS (
+ SELECT series_id, 0, 1.0::DOUBLE, []::DOUBLE[], g[1], g FROM gg UNION ALL
+ SELECT series_id, k + 1, na, list_concat(list_transform(range(1, k + 1), lambda i: phi[i] - na * phi[k + 1 - i]), [na]), v * (1 - na * na), g
+ FROM (SELECT *, (g[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * g[k + 2 - i])), 0)) / v AS na FROM dl WHERE k < 48))
+SELECT series_id, CAST(k AS INTEGER) AS lag, round(a, 8) + 0.0 AS pacf FROM dl""")
 def pacf(spark, sf):
-    return hy.pacf(hourly(spark, sf), KEY, "idx", "y", 48)
+    return hy.pacf(hourly(spark, sf), KEY, "idx", "y", 48).select("series_id", "lag", rnd("pacf", 8).alias("pacf"))
 
 
 _MOM = f"""WITH {HOURLY}, m AS (SELECT series_id, avg(y) AS m FROM hourly GROUP BY 1),
@@ -148,14 +184,28 @@ def fitted_residuals(spark, sf):
     return d.select("series_id", "ts", rnd("fitted", 7).alias("fitted"), rnd("r", 7).alias("resid"))
 
 
-@query("vif")
+_VIF = ["y", *X]
+_VIF_CELLS = [[f"s_{min(a, b)}{max(a, b)}" for b in range(4)] for a in range(4)]
+
+
+@query("vif", sql=f"""WITH {DAILY_EXOG},
+s AS (SELECT series_id, {", ".join(f"sum({_VIF[a]} * {_VIF[b]}) AS s_{a}{b}" for a in range(4) for b in range(a, 4))} FROM daily_exog GROUP BY 1),
+d AS (SELECT *, {det_sql(_VIF_CELLS)} AS whole FROM s)
+""" + " UNION ALL ".join(
+    f"SELECT series_id, '{c}' AS feature, round(ln(s_{a}{a} * {det_sql([[x for j, x in enumerate(r) if j != a] for i, r in enumerate(_VIF_CELLS) if i != a])} / whole), 5) + 0.0 AS log_vif FROM d"
+    for a, c in enumerate(_VIF)))
 def vif(spark, sf):
-    return hy.vif(daily_exog(spark, sf), KEY, ["y", *X])
+    out = hy.vif(daily_exog(spark, sf), KEY, _VIF)
+    return out.select("series_id", "feature", rnd(F.log("vif"), 5).alias("log_vif"))
 
 
-@query("chow_test")
+@query("chow_test", sql=f"""WITH {DAILY_EXOG},
+h AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 >= count(*) OVER (PARTITION BY series_id) // 2)::INTEGER AS half FROM daily_exog),
+{_least_squares_sql("daily_exog", "series_id", "w", X)},{_least_squares_sql("h", "series_id, half", "p", X)},
+t AS (SELECT series_id, sum(ssr) AS free FROM p GROUP BY 1)
+SELECT w.series_id, round((ssr - free) / 4 / (free / (n - 8)), 6) + 0.0 AS statistic FROM w JOIN t ON t.series_id = w.series_id""")
 def chow_test(spark, sf):
-    return hy.chow(daily_exog(spark, sf), KEY, "idx", "y", X)
+    return hy.chow(daily_exog(spark, sf), KEY, "idx", "y", X).select("series_id", rnd("statistic").alias("statistic"))
 
 
 @query("granger_causality")
@@ -180,9 +230,17 @@ def ols_summary(spark, sf):
     return out.select("series_id", "term", *both, rnd("t", 4).alias("t"), rnd("r2", 7).alias("r2"), "n")
 
 
-@query("ols_multiple")
+_CONST = " + ".join(f"m_{a} * i_{a}{b} * m_{b}" for a in range(3) for b in range(3))
+
+
+@query("ols_multiple", sql=f"""WITH {DAILY_EXOG},{_least_squares_sql("daily_exog", "series_id", "w", X)},
+r AS (SELECT *, ssr / (n - 4) AS s2, 1 - ssr / s_yy AS r2 FROM w),
+l AS ({" UNION ALL ".join(f"SELECT series_id, '{c}' AS term, b_{a} AS coef, sqrt(s2 * i_{a}{a}) AS se, r2, n FROM r" for a, c in enumerate(X))}
+ UNION ALL SELECT series_id, 'const', m_y - (b_0 * m_0 + b_1 * m_1 + b_2 * m_2), sqrt(s2 * (1 / n + {_CONST})), r2, n FROM r)
+SELECT series_id, term, round(coef, 5) + 0.0 AS coef, round(se, 5) + 0.0 AS se, round(coef / se, 4) + 0.0 AS t, round(r2, 7) + 0.0 AS r2, CAST(n AS BIGINT) AS n FROM l""")
 def ols_multiple(spark, sf):
-    return hy.ols_summary(daily_exog(spark, sf), KEY, "y", X)
+    out = hy.ols_summary(daily_exog(spark, sf), KEY, "y", X)
+    return out.select("series_id", "term", rnd("coef", 5).alias("coef"), rnd("se", 5).alias("se"), rnd("t", 4).alias("t"), rnd("r2", 7).alias("r2"), "n")
 
 
 @query("f_regression", sql=f"WITH {DAILY_EXOG} " + " UNION ALL ".join(
@@ -218,9 +276,15 @@ def lasso_q(spark, sf):
     return finish(gram(d, KEY, cols), KEY, result, "feature string, coef double")
 
 
-@query("anova_nested")
+@query("anova_nested", sql=f"""WITH {DAILY_EXOG},{_least_squares_sql("daily_exog", "series_id", "l", X)},{_least_squares_sql("daily_exog", "series_id", "s", ["qty"])}
+SELECT l.series_id, round(s.ssr / s.s_yy, 8) + 0.0 AS small, round(l.ssr / l.s_yy, 8) + 0.0 AS large, round((s.ssr - l.ssr) / 2 / (l.ssr / (l.n - 4)), 5) + 0.0 AS statistic
+FROM l JOIN s ON s.series_id = l.series_id""")
 def anova_nested(spark, sf):
-    return hy.anova_nested(daily_exog(spark, sf), KEY, "y", ["qty"], X)
+    """Unexplained shares of the variance of both regressions, and the F statistic of what the larger one adds."""
+    panel = daily_exog(spark, sf)
+    total = panel.groupBy("series_id").agg((F.var_pop("y") * F.count(F.lit(1))).alias("t"))
+    out = hy.anova_nested(panel, KEY, "y", ["qty"], X).join(total, "series_id")
+    return out.select("series_id", rnd(F.col("ssr_small") / F.col("t"), 8).alias("small"), rnd(F.col("ssr_large") / F.col("t"), 8).alias("large"), rnd("statistic", 5).alias("statistic"))
 
 
 @query("diebold_mariano", sql=FCB + f""", d AS (SELECT f.series_id, abs(f.y - f.yhat) - abs(f.y - b.yhat) AS d{_JOIN} WHERE f.q = 0.5)
@@ -265,9 +329,16 @@ def evaluation_report(spark, sf):
     return out.select("period", "series_id", "q", metric.alias("metric"), rnd(value).alias("value"))
 
 
-@query("bds_test")
+@query("bds_test", sql=f"""WITH {HOURLY},
+e AS (SELECT series_id, 1.5 * stddev_samp(y) AS eps, CAST(count(*) AS DOUBLE) AS n FROM hourly GROUP BY 1),
+t AS (SELECT h.series_id, y AS x, lead(y) OVER w AS z, row_number() OVER w AS i, eps, n FROM hourly h JOIN e ON e.series_id = h.series_id WINDOW w AS (PARTITION BY h.series_id ORDER BY ts)),
+p AS (SELECT a.series_id, a.i, a.n, CAST(count(*) AS DOUBLE) AS hits, count(*) FILTER (b.i > 1) AS late, count(*) FILTER (abs(a.z - b.z) < a.eps) AS joint
+ FROM t a JOIN t b ON a.series_id = b.series_id AND abs(a.x - b.x) < a.eps GROUP BY 1, 2, 3),
+s AS (SELECT series_id, n, sum(hits) AS s, sum(hits * hits) AS s2, sum(joint) AS j, sum(late) FILTER (i > 1) AS l FROM p GROUP BY 1, 2),
+c AS (SELECT *, (s - n) / (n * (n - 1)) AS cf, (l - (n - 1)) / ((n - 1) * (n - 2)) AS cl, (j - (n - 1)) / ((n - 1) * (n - 2)) AS cj, (s2 - 3 * s + 2 * n) / (n * (n - 1) * (n - 2)) AS k FROM s)
+SELECT series_id, round(sqrt(n - 1) * (cj - cl * cl) / (2 * abs(k - cf * cf)), 6) + 0.0 AS statistic FROM c""")
 def bds_test(spark, sf):
-    return neighbours.bds(hourly(spark, sf), KEY, "idx", "y")
+    return neighbours.bds(hourly(spark, sf), KEY, "idx", "y").select("series_id", rnd("statistic").alias("statistic"))
 
 
 @query("stl_decompose")
