@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"])
         width = len(model.langs)
-        for b in chunks(batches, limit=2 << 20):
+        for b in chunks(batches, limit=1 << 20):
             n, own = b.num_rows, [b.column(1), *b.columns[2:]] if rest else []
             codes, distinct, off = words(b.column(1))
             if not width or not len(codes):

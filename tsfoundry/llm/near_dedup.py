@@ -82,9 +82,13 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 def odd_sketches(minima: np.ndarray) -> np.ndarray:
     """Each minimum flips one of BITS bits, so equal ones of two rows cancel in their difference."""
-    bit = mix(minima + _ADD * _PLACE[6]) >> np.uint64(64 - BITS.bit_length() + 1)
-    flips = np.bincount((np.arange(len(minima))[:, None] * BITS + bit.astype(np.int64)).ravel(), minlength=len(minima) * BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
+    out = np.empty((len(minima), BITS // 8), np.uint8)
+    for start in range(0, len(minima), 1024):  # a counter for each bit of so many rows at a time
+        part = minima[start : start + 1024]
+        bit = mix(part + _ADD * _PLACE[6]) >> np.uint64(64 - BITS.bit_length() + 1)
+        flips = np.bincount((np.arange(len(part))[:, None] * BITS + bit.astype(np.int64)).ravel(), minlength=len(part) * BITS)
+        out[start : start + 1024] = np.packbits((flips & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """``id, tag, n, print, bands, sketch`` of ``docs(id, tag, text)``; ``print`` tells sets apart and is null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, limit=1 << 20):
             values, off = shingle_sets(b.column(2))
             n = np.diff(off)
             has = np.flatnonzero(n > 0)
