@@ -210,3 +210,18 @@ def test_digests_of_the_codec_query(spark, tmp_path):
     got = sorted(map(tuple, bpe.query(spark, str(tmp_path)).collect()))
     ids = [(i, t or "", tok.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
     assert got == sorted((i, len(x), sha(",".join(map(str, x))), sha(t)) for i, t, x in ids)
+
+
+def test_text_without_common_words_is_rejected(spark):
+    """Usual letters and marks, no common word: the word rule alone can tell it from a language."""
+    r = random.Random(8)
+    common = [f"{a}{b}" for a in "tos" for b in "heanri"]
+    rare = lambda: "".join(r.choice("bcdflmnprstaeiou") for _ in range(r.randint(4, 9)))
+    text = lambda n, share: " ".join((r.choice(common) if r.random() < share else rare()) + ("." if i % 12 == 11 else "") for i in range(n)).capitalize()
+    docs = spark.createDataFrame([(i, text(r.randint(60, 400), 0.4), "en") for i in range(150)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(i, text(n, 0.0), None) for i, n in enumerate([60, 80, 150, 400, 3000])], "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    assert [x.kept for x in quality.quality_rules(odd, refs).collect()] == [False] * 5
+    assert all(x.kept for x in quality.quality_rules(docs, refs).collect())
+    bare = quality.no_common_words(refs["en"][1])
+    assert all(abs(x.word_distance - bare) < 1e-9 for x in quality.quality_rules(odd, refs).collect())

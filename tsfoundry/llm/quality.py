@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsfoundry.llm.common import chunks, id_and_text, load, text_buffer, words
-from tsfoundry.session import configure
+from tsfoundry.session import configure, cut_lineage
 
 NAME = "op10_quality_rules"
 ORACLE = None
@@ -26,9 +26,12 @@ COMMON_WORDS = 64
 #: A text needs so many characters, or words, before its distribution is judged.
 LEAST_CHARS = 200
 LEAST_JUDGED_WORDS = 50
-#: Largest Jensen-Shannon distances (base 2, 0 to 1) from the nearest language that pass.
+#: Largest Jensen-Shannon distance (base 2, 0 to 1) of characters from the nearest language that passes.
 MOST_CHAR_DISTANCE = 0.25
-MOST_WORD_DISTANCE = 0.5
+#: Largest one of words, as a part of the distance at which a text without any common word of the language lies:
+#: from LEAST_JUDGED_WORDS words on, and from LONG_WORDS on, where chance moves a text's shares less.
+MOST_WORD_PART, MOST_WORD_PART_LONG = 0.98, 0.85
+LONG_WORDS = 200
 
 #: Character classes: lower, upper, digit, space, line end, sentence mark, other ASCII mark, beyond ASCII.
 CLASSES = 8
@@ -100,6 +103,14 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, d, 1.0)
 
 
+def no_common_words(common: dict[str, float]) -> float:
+    """Distance of a text that holds none of a language's common words; it follows from their shares alone."""
+    rest = 1 - sum(common.values())
+    only = np.zeros((1, len(common) + 1))
+    only[0, -1] = 1
+    return float(js_distance(only, np.array([*common.values(), rest]))[0])
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, dict[str, float]]]:
     """Per language the shares of the character classes, and of the COMMON_WORDS most frequent words in lower case.
 
@@ -108,7 +119,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=6 << 20):
+        for b in chunks(batches, limit=4 << 20):
             lang = b.column(1).dictionary_encode()
             of = lang.indices.to_numpy(zero_copy_only=False)
             codes, distinct, off = words(pc.ascii_lower(b.column(0)))
@@ -123,6 +134,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counted = known.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)  # counted once, used twice
     # A word holds no space, so a name that begins with one is a character class.
     kind = F.col("word").startswith(" ")
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
@@ -144,8 +156,8 @@ def quality_rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[str, f
 
     Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, char_distance, word_distance``. A text is
-    compared with every language and the nearest counts, so a wrong language
-    label harms nobody; short texts are not judged by distance. A null or empty
+    compared with every language and one that is near enough counts, so a wrong
+    language label harms nobody; short texts are not judged by distance. A null or empty
     text has no words and fails; without references only the base decides.
     Repeated rows are judged alike; null ids stay; other columns are ignored.
     """
@@ -159,7 +171,7 @@ def quality_rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[str, f
         mine = np.zeros(len(names) + 1, bool)
         mine[[number[w] for w in common]] = True
         share[-1] = 1 - share.sum()
-        tables.append((classes, share, mine))
+        tables.append((classes, share, mine, no_common_words(common)))
     known = pa.array(names, pa.large_string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +186,21 @@ def quality_rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[str, f
             lines, repeats = duplicate_lines(text), repeated_words(codes, off)
             failed = (n < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n)
             classes = char_classes(text)
-            near_chars, near_words = np.ones(b.num_rows), np.ones(b.num_rows)
+            near_chars, near_words, strange = np.ones(b.num_rows), np.ones(b.num_rows), np.ones(b.num_rows, bool)
             if tables:
                 common = pc.fill_null(pc.index_in(pc.ascii_lower(distinct), known), len(names)).to_numpy(zero_copy_only=False) if len(distinct) else np.zeros(0, np.int64)
                 row = np.repeat(np.arange(b.num_rows), n)
                 width = len(names) + 1
                 table = np.bincount(row * width + common[codes], minlength=b.num_rows * width).reshape(-1, width)
-                for shares, words_of, mine in tables:
+                part = np.where(n >= LONG_WORDS, MOST_WORD_PART_LONG, MOST_WORD_PART)
+                for shares, words_of, mine, bare in tables:
                     near_chars = np.minimum(near_chars, js_distance(classes, shares))
                     own = np.where(mine, table, 0)
                     own[:, -1] = n - own[:, :-1].sum(axis=1)
-                    near_words = np.minimum(near_words, js_distance(own, words_of))
-            far = (classes.sum(axis=1) >= LEAST_CHARS) & (near_chars > MOST_CHAR_DISTANCE) | (n >= LEAST_JUDGED_WORDS) & (near_words > MOST_WORD_DISTANCE)
+                    distance = js_distance(own, words_of)
+                    near_words = np.minimum(near_words, distance)
+                    strange &= distance > part * bare  # of every language
+            far = (classes.sum(axis=1) >= LEAST_CHARS) & (near_chars > MOST_CHAR_DISTANCE) | (n >= LEAST_JUDGED_WORDS) & strange
             far &= bool(tables)
             out = [b.column(0), *map(pa.array, (n, chars, symbols, lines, repeats, failed, ~failed & ~far, near_chars, near_words))]
             yield pa.RecordBatch.from_arrays(out, ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
