@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsfoundry.operators.chunking import over_chunks, row_numbers, running_sum
+from tsfoundry.operators.lookup import attach
 from tsfoundry.operators.quantiles import value_cumcounts
 
 #: Smallest denominator of a percentage error (float64 machine epsilon).
@@ -168,6 +170,80 @@ def evaluation_table(
     return long.unionByName(point.unpivot([*keys, "q"], ["mae", "rmse", "mape"], "metric", "value"))
 
 
+def period_report(
+    df: DataFrame, by: Sequence[str], idx: str, periods: dict[str, Column], quantiles: dict[float, str],
+    base: dict[float, str], y: str = "y", lags: int = 10, bins: int = 10,
+) -> DataFrame:
+    """Long (period, by, metric, q, value): all figures of a forecast report from one aggregate.
+
+    ``df`` holds one row per step with the forecast quantiles and those of a
+    baseline; a row belongs to every period whose condition holds. For each
+    period: pinball loss and its share explained against the baseline per
+    quantile; share of observations below each quantile (calibration); absolute,
+    squared and percentage error of the median; coverage and width of the outer
+    interval; the counts of the transform's histogram; the regression of the
+    observations on the median; the test of equal accuracy against the
+    baseline; mean, deviation, skewness, excess and normality statistic of the
+    residuals, their portmanteau statistic over ``lags`` rows of the period, and
+    the greatest deviation of their running sum. Residual sums over lags come
+    from chunked windows, so one long series is spread over many tasks.
+    """
+    probs = sorted(quantiles)
+    lo, mid, hi = quantiles[probs[0]], quantiles[0.5], quantiles[probs[-1]]
+    known = df.filter(F.col(y).isNotNull() & F.col(mid).isNotNull() & F.col(base[0.5]).isNotNull())
+    named = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in periods.items()]))
+    rows = known.select("*", F.explode(named).alias("period")).withColumn("__e", F.col(mid) - F.col(y))
+    keys = ["period", *by]
+    rows = row_numbers(rows, keys, idx, out="__rn")
+    rows = over_chunks(rows, keys, "__rn", lags, lambda w: {f"__e{k}": F.lag("__e", k).over(w) for k in range(1, lags + 1)})
+    rows = running_sum(rows, keys, "__rn", {"__sum": F.col("__e")})
+
+    def loss(q: float, c: str) -> Column:
+        return F.avg(pinball_term(F.lit(q), y, c))
+
+    e, d = F.col("__e"), F.abs(F.col(y) - F.col(mid)) - F.abs(F.col(y) - F.col(base[0.5]))
+    slot = F.least(F.floor(F.round(pit_value(y, {q: quantiles[q] for q in probs}) * bins, 6)), F.lit(bins - 1))
+    n = F.count(F.lit(1)).cast("double")
+    figures: dict[tuple[str, float], Column] = {("n", 0.5): n}
+    for q in probs:
+        figures["pinball", q] = loss(q, quantiles[q])
+        figures["d2", q] = 1 - loss(q, quantiles[q]) / F.nullif(loss(q, base[q]), F.lit(0.0))
+        figures["below", q] = F.avg((F.col(y) <= F.col(quantiles[q])).cast("double"))
+    figures |= {
+        ("mae", 0.5): F.avg(F.abs(e)), ("rmse", 0.5): F.sqrt(F.avg(e * e)),
+        ("mape", 0.5): F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(EPS))),
+        ("coverage", 0.5): F.avg(F.col(y).between(F.col(lo), F.col(hi)).cast("double")),
+        ("sharpness", 0.5): F.avg(F.col(hi) - F.col(lo)),
+        ("regression_intercept", 0.5): F.regr_intercept(y, mid), ("regression_slope", 0.5): F.regr_slope(y, mid),
+        ("regression_r2", 0.5): F.regr_r2(y, mid),
+        ("equal_accuracy", 0.5): F.avg(d) / F.nullif(F.sqrt(F.var_samp(d) / n), F.lit(0.0)),
+        ("residual_mean", 0.5): F.avg(e), ("residual_std", 0.5): F.stddev_samp(e),
+        ("residual_skewness", 0.5): F.skewness(e), ("residual_kurtosis", 0.5): F.kurtosis(e),
+        ("jarque_bera", 0.5): n / 6 * (F.skewness(e) ** 2 + F.kurtosis(e) ** 2 / 4),
+    }
+    for b in range(bins):
+        figures["pit_count", b / bins] = F.count_if(slot == b).cast("double")
+    terms = []
+    for k in range(1, lags + 1):
+        past = F.col(f"__e{k}")
+        both = F.when(past.isNotNull(), e)
+        # products of deviations from the mean over all rows, from sums over the pairs
+        pair = F.sum(both * past) - F.avg(e) * (F.sum(both) + F.sum(past)) + F.avg(e) ** 2 * F.count(past)
+        r = pair / F.nullif(F.var_pop(e) * n, F.lit(0.0))
+        terms.append(F.coalesce(r * r / F.nullif(n - k, F.lit(0.0)), F.lit(0.0)))
+    figures["ljung_box", 0.5] = n * (n + 2) * sum(terms[1:], terms[0])
+    # the running sum of deviations is the running sum less its share of the total
+    names = [f"__f{i}" for i in range(len(figures))]
+    wide = rows.groupBy(*keys).agg(*[c.alias(f) for f, c in zip(names, figures.values())])
+    mean = names[list(figures).index(("residual_mean", 0.5))]
+    peaks = attach(rows.select(*keys, "__rn", "__sum"), wide.select(*keys, F.col(mean).alias("__m")), keys, spread=["__rn"])
+    peaks = peaks.groupBy(*keys).agg(F.max(F.abs(F.col("__sum") - F.col("__rn") * F.col("__m"))).alias("__peak"))
+    wide = wide.join(peaks, keys)
+    cells = [F.struct(F.lit(m).alias("metric"), F.lit(float(q)).alias("q"), F.col(f).alias("value")) for f, (m, q) in zip(names, figures)]
+    cells.append(F.struct(F.lit("cusum_peak").alias("metric"), F.lit(0.5).alias("q"), F.col("__peak").alias("value")))
+    return wide.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
+
+
 def diebold_mariano_terms(
     y: str, a: str, b: str, loss: Callable[[Column, Column], Column] | None = None
 ) -> Column:

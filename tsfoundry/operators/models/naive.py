@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsfoundry.operators.chunking import over_chunks, row_numbers
 from tsfoundry.operators.models.base import register
 
 DEFAULT_QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
@@ -22,13 +23,19 @@ def seasonal_quantiles(
 ) -> DataFrame:
     """Quantiles of the previous ``last_t`` observations of the same season.
 
-    Null until ``last_t`` observations precede a row. A season of one series
-    is a small group: one row per week and series for hourly data.
+    Null until ``last_t`` observations precede a row. Rows get their number
+    within series and season, and windows run over chunks of it that see
+    ``last_t`` rows back, so a season that holds most rows is no single group.
     """
-    w = Window.partitionBy(*keys, *season).orderBy(idx).rowsBetween(-last_t, -1)
-    full = F.count(value).over(w) == last_t
-    row = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).over(w)
-    held = df.withColumn("__q", F.when(full, row))
+    place = "__occurrence"
+    rows = row_numbers(df, [*keys, *season], idx, out=place)
+
+    def build(w: Window) -> dict[str, Column]:
+        past = w.rowsBetween(-last_t, -1)
+        row = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).over(past)
+        return {"__q": F.when(F.count(value).over(past) == last_t, row)}
+
+    held = over_chunks(rows, [*keys, *season], place, last_t, build)
     return held.select(
         *df.columns, *[F.col("__q")[i].alias(quantile_column(p)) for i, p in enumerate(probs)]
     )

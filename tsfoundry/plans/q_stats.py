@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tsfoundry.functions import time as tm
 from tsfoundry.operators import hypothesis as hy
 from tsfoundry.operators import metrics, neighbours, spectral
 from tsfoundry.operators.linalg import finish, gram, lasso
+from tsfoundry.operators.models.naive import seasonal_quantiles
 from tsfoundry.plans.panels import DAILY_EXOG, HOURLY, KEY, daily, daily_exog, hourly, table
-from tsfoundry.plans.q_metrics import FCB, MED, _JOIN, compared
+from tsfoundry.plans.q_metrics import COLS, FCB, HI, LO, MED, QS, _JOIN, _pit_sql, compared
 from tsfoundry.plans.q_windows import _ACF
 from tsfoundry.plans.registry import query, rnd
 
@@ -312,15 +314,70 @@ def eda_report(spark, sf):
     return own.unionByName(hy.battery(daily_exog(spark, sf), KEY, "idx", "y", X, tests=["chow"]))
 
 
-@query("evaluation_report", sql=FCB + f""", j AS (SELECT f.*, b.yhat AS yb{_JOIN}),
+_BASE = {q: c.replace("pred", "base") for q, c in COLS.items()}
+
+
+def _report_sql() -> str:
+    def window(cols, n, w):
+        return ", ".join(f"CASE WHEN count(*) OVER {w} = {n} THEN quantile_cont(y, {q}) OVER {w} END AS {c}" for q, c in cols.items())
+
+    def over(n):
+        return f"(PARTITION BY series_id, h ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+    def pinball(q, c):
+        return f"avg(greatest({q} * (y - {c}), ({q} - 1) * (y - {c})))"
+
+    one = {
+        "n": "CAST(any_value(n) AS DOUBLE)", "mae": "avg(abs(e))", "rmse": "sqrt(avg(e * e))",
+        "log10_mape": "log10(avg(abs(e) / greatest(abs(y), 2.220446049250313e-16)))",
+        "coverage": f"avg(CASE WHEN y BETWEEN {LO} AND {HI} THEN 1.0 ELSE 0.0 END)", "sharpness": f"avg({HI} - {LO})",
+        "regression_intercept": f"regr_intercept(y, {MED})", "regression_slope": f"regr_slope(y, {MED})", "regression_r2": f"regr_r2(y, {MED})",
+        "equal_accuracy": "avg(d) / sqrt(var_samp(d) / count(*))", "residual_mean": "avg(e)", "residual_std": "stddev_samp(e)",
+        "residual_skewness": "avg(pow(e - m, 3)) / pow(var_pop(e), 1.5)", "residual_kurtosis": "avg(pow(e - m, 4)) / pow(var_pop(e), 2) - 3",
+        "jarque_bera": "count(*) / 6.0 * (pow(avg(pow(e - m, 3)) / pow(var_pop(e), 1.5), 2) + pow(avg(pow(e - m, 4)) / pow(var_pop(e), 2) - 3, 2) / 4)",
+        "cusum_peak": "max(abs(cs))",
+    }
+    parts = [(m, 0.5, x) for m, x in one.items()]
+    for q, c in COLS.items():
+        parts += [("pinball", q, pinball(q, c)), ("d2", q, f"1 - {pinball(q, c)} / {pinball(q, _BASE[q])}"), ("below", q, f"avg(CASE WHEN y <= {c} THEN 1.0 ELSE 0.0 END)")]
+    parts += [("pit_count", b / 10, f"CAST(count(*) FILTER (least(floor(round(pit * 10, 6)), 9) = {b}) AS DOUBLE)") for b in range(10)]
+    rows = " UNION ALL ".join(f"SELECT period, series_id, '{m}' AS metric, {q}::DOUBLE AS q, round({x}, 5) + 0.0 AS value FROM r GROUP BY 1, 2" for m, q, x in parts)
+    return f"""WITH {HOURLY},
+f AS (SELECT series_id, ts, y, {window(COLS, 14, "w")}, {window(_BASE, 7, "v")} FROM (SELECT *, hour(ts) AS h FROM hourly) WINDOW w AS {over(14)}, v AS {over(7)}),
+j AS (SELECT *, {MED} - y AS e, abs(y - {MED}) - abs(y - {_BASE[0.5]}) AS d, CAST({_pit_sql()} AS DOUBLE) AS pit FROM f WHERE {MED} IS NOT NULL AND {_BASE[0.5]} IS NOT NULL),
+p AS (SELECT 'overall' AS period, * FROM j UNION ALL SELECT 'specific', * FROM j WHERE isodow(ts) IN (5, 6) AND hour(ts) IN (11, 15, 19)),
+a AS (SELECT *, avg(e) OVER g AS m, count(*) OVER g AS n, row_number() OVER (PARTITION BY period, series_id ORDER BY ts) AS rn FROM p WINDOW g AS (PARTITION BY period, series_id)),
+r AS (SELECT *, sum(e - m) OVER (PARTITION BY period, series_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS cs FROM a),
+l AS (SELECT x.period, x.series_id, k, sum((x.e - x.m) * (z.e - z.m)) AS s FROM r x JOIN (SELECT unnest(range(1, 11)) AS k) ON true
+ JOIN r z ON z.period = x.period AND z.series_id = x.series_id AND z.rn = x.rn - k GROUP BY 1, 2, 3),
+t AS (SELECT period, series_id, CAST(count(*) AS DOUBLE) AS n, var_pop(e) * count(*) AS tot FROM r GROUP BY 1, 2)
+{rows} UNION ALL SELECT t.period, t.series_id, 'ljung_box', 0.5::DOUBLE, round(any_value(t.n * (t.n + 2)) * sum(pow(s / tot, 2) / (t.n - k)), 5) + 0.0
+FROM l JOIN t ON t.period = l.period AND t.series_id = l.series_id WHERE k < t.n GROUP BY 1, 2"""
+
+
+@query("evaluation_report", sql=_report_sql())
+def evaluation_report(spark, sf):
+    """Every figure of the report over all hours and over the target hours: Friday and Saturday, 11, 15 and 19 h."""
+    panel = hourly(spark, sf).withColumn("h", F.hour("ts"))
+    scored = seasonal_quantiles(panel, KEY, ["h"], "idx", "y", 14, QS)
+    base = seasonal_quantiles(panel, KEY, ["h"], "idx", "y", 7, QS).select("series_id", "idx", *[F.col(c).alias(_BASE[q]) for q, c in COLS.items()])
+    wide = scored.join(base, ["series_id", "idx"])
+    periods = {"overall": F.lit(True), "specific": tm.target_times("ts")}
+    out = metrics.period_report(wide, KEY, "idx", periods, COLS, _BASE)
+    mape = F.col("metric") == "mape"
+    value = F.when(mape, F.log10("value")).otherwise(F.col("value"))
+    return out.select("period", "series_id", F.when(mape, "log10_mape").otherwise(F.col("metric")).alias("metric"), "q", rnd(value, 5).alias("value"))
+
+
+@query("evaluation_losses", sql=FCB + f""", j AS (SELECT f.*, b.yhat AS yb{_JOIN}),
 p AS (SELECT 'overall' AS period, * FROM j UNION ALL SELECT 'specific', * FROM j WHERE isodow(ts) IN (5, 6)),
 q AS (SELECT period, series_id, q, avg(greatest(q * (y - yhat), (q - 1) * (y - yhat))) AS a, avg(greatest(q * (y - yb), (q - 1) * (y - yb))) AS b FROM p GROUP BY 1, 2, 3)
 SELECT period, series_id, q, 'pinball' AS metric, round(a, 6) + 0.0 AS value FROM q UNION ALL SELECT period, series_id, q, 'd2', round(1 - a / b, 6) + 0.0 FROM q
 UNION ALL SELECT period, series_id, 0.5::DOUBLE, 'mae', round(avg(abs(yhat - y)), 6) + 0.0 FROM p WHERE q = 0.5 GROUP BY 1, 2
 UNION ALL SELECT period, series_id, 0.5::DOUBLE, 'rmse', round(sqrt(avg(pow(yhat - y, 2))), 6) + 0.0 FROM p WHERE q = 0.5 GROUP BY 1, 2
 UNION ALL SELECT period, series_id, 0.5::DOUBLE, 'log10_mape', round(log10(avg(abs(yhat - y) / greatest(abs(y), 2.220446049250313e-16))), 6) + 0.0 FROM p WHERE q = 0.5 GROUP BY 1, 2""")
-def evaluation_report(spark, sf):
-    """Every metric for both periods."""
+def evaluation_losses(spark, sf):
+    """Losses of daily forecasts, over all days and over Fridays and Saturdays."""
     periods = {"overall": F.lit(True), "specific": F.weekday("ts").isin(4, 5)}
     out = metrics.evaluation_table(compared(spark, sf), KEY, periods)
     mape = F.col("metric") == "mape"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsfoundry.functions.time import DAY, HOUR, epoch, from_epoch
-from tsfoundry.operators.chunking import row_numbers
+from tsfoundry.operators.ranking import numbered
 
 
 def parse_epoch_series(df: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -22,8 +22,11 @@ def parse_epoch_series(df: DataFrame, payload: str, keep: Sequence[str] = ()) ->
 def within_day_counter(
     df: DataFrame, day: str, order: str, out: str = "n", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """0-based position of each row within its day, in ``order``."""
-    return row_numbers(df, [*keys, day], order, out="__rn").withColumn(
+    """0-based position of each row within its day, in ``order``, whatever the order's values are.
+
+    A day that holds most of the rows is numbered in as many tasks as it needs.
+    """
+    return numbered(df, [*keys, day], [order], out="__rn").withColumn(
         out, F.col("__rn") - 1
     ).drop("__rn")
 
