@@ -95,3 +95,22 @@ def test_quantiles_of_odd_numbers(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(v,) for v in (nan, None, -inf, 1.0, 2.0, 3.0, inf)], "v double")
     assert tuple(exact_quantiles(df, [], "v", [0.0, 0.5, 1.0]).first()) == (-inf, 2.0, inf)
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """The registry works where the folder is gone, and where it is an empty one."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for empty in (False, True):
+        copy = tmp_path / str(empty)
+        shutil.copytree(root / "tsfoundry", copy / "tsfoundry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", copy)
+        if empty:
+            (copy / "tsfoundry" / "llm" / "__pycache__").mkdir(parents=True)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(o) <= set(q) and 'pipeline' not in q"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})

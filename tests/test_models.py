@@ -234,3 +234,14 @@ def test_fit_leaves_a_shared_cache_alone(spark, data):
     LinearQuantile(["x"], quantiles=(0.5,), steps=2).fit(df)
     assert "InMemoryTableScan" in df.groupBy("series_id").count()._jdf.queryExecution().executedPlan().toString()
     df.unpersist()
+
+
+def test_saved_model_scores_alike(spark, data, tmp_path):
+    df, *_ = data
+    model = LinearQuantile(["x", "z"], alpha=0.01, quantiles=(0.1, 0.5), steps=40).fit(df)
+    base.save(model, spark, f"{tmp_path}/m")
+    again = base.load(spark, f"{tmp_path}/m")
+    assert again.state() == model.state() and again.transform(df).collect() == model.transform(df).collect()
+    spark.createDataFrame([("nobody", "{}")], "model string, state string").write.parquet(f"{tmp_path}/n")
+    with pytest.raises(ValueError):
+        base.load(spark, f"{tmp_path}/n")

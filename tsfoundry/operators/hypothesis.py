@@ -19,6 +19,7 @@ from tsfoundry.operators.lookup import INTEGRAL, attach
 from tsfoundry.operators.metrics import diebold_mariano_terms
 from tsfoundry.operators.quantiles import exact_quantiles, value_cumcounts
 from tsfoundry.operators.spectral import acf, autocovariances, centred
+from tsfoundry.session import cut_lineage
 
 RESULT = "statistic double, p_value double"
 
@@ -748,7 +749,13 @@ def battery(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, regressors: Sequence[str] = (),
     tests: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The chosen tests as one long table (test, keys, statistic, p_value)."""
+    """The chosen tests as one long table (test, keys, statistic, p_value).
+
+    The panel is written once and read by every test, whatever it took to make it.
+    """
+    from tsfoundry.operators.neighbours import bds  # which uses the laws of this module
+
+    df = cut_lineage(df.select(*keys, idx, value, *[r for r in regressors if r not in (*keys, idx, value)]))
     known: dict[str, Callable[[], DataFrame]] = {
         "adf_d0": lambda: adf(df, keys, idx, value), "adf_d1": lambda: adf(df, keys, idx, value, 1),
         "kpss_d0": lambda: kpss(df, keys, idx, value), "kpss_d1": lambda: kpss(df, keys, idx, value, 1),
@@ -756,6 +763,8 @@ def battery(
         "shapiro_wilk": lambda: shapiro_wilk(df, keys, value), "breusch_pagan": lambda: breusch_pagan(df, keys, idx, value),
         "goldfeld_quandt": lambda: goldfeld_quandt(df, keys, idx, value), "arch_lm": lambda: arch_lm(df, keys, idx, value),
         "ljung_box_10": lambda: ljung_box(df, keys, idx, value, [10]), "ljung_box_20": lambda: ljung_box(df, keys, idx, value, [20]),
+        "bds": lambda: bds(df, keys, idx, value),
+        **{f"f_regression_{x}": lambda x=x: f_regression(df, keys, value, [x]) for x in regressors},
         "chow": lambda: chow(df, keys, idx, value, regressors),
     }
     chosen = list(tests) if tests is not None else [t for t in known if t != "chow" or regressors]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,21 @@ def make(name: str, **options) -> QuantileForecaster:
     return REGISTRY[name](**options)
 
 
+def save(model, spark: SparkSession, path: str) -> None:
+    """Write a model that gives its state as plain values: one row below ``path``, in the storage Spark writes to."""
+    name = next(n for n, cls in REGISTRY.items() if cls is type(model))
+    row = [(name, json.dumps(model.state(), sort_keys=True))]
+    spark.createDataFrame(row, "model string, state string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str):
+    """The model that ``save`` wrote, ready to score."""
+    row = spark.read.parquet(path).first()
+    if row["model"] not in REGISTRY:
+        raise ValueError(f"unknown model {row['model']!r}; known: {sorted(REGISTRY)}")
+    return REGISTRY[row["model"]].from_state(json.loads(row["state"]))
+
+
 def partition_sums(
     df: DataFrame, cols: Sequence[str], fn: Callable[[np.ndarray], np.ndarray]
 ) -> np.ndarray:

@@ -160,6 +160,19 @@ class LinearQuantile:
     #: Fits many models in shared passes; other models are fitted one by one.
     fit_together = staticmethod(fit_together)
 
+    def state(self) -> dict:
+        fitted = [[q, [float(x) for x in self.coef[q]], self.loss[q]] for q in self.coef]
+        return {"features": self.features, "target": self.target, "alpha": self.alpha, "quantiles": self.quantiles,
+                "steps": self.steps, "tol": self.tol, "fitted": fitted}
+
+    @classmethod
+    def from_state(cls, state: dict) -> "LinearQuantile":
+        options = {k: v for k, v in state.items() if k != "fitted"}
+        model = cls(**options)
+        for q, coef, loss in state["fitted"]:
+            model.coef[q], model.loss[q] = np.array(coef), loss
+        return model
+
     def expression(self, q: float):
         """The fitted quantile as a column expression."""
         b = self.coef[q]

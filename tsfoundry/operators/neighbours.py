@@ -106,7 +106,8 @@ def knn_join(
         return rows.groupBy(*keys, BLOCK).cogroup(donor_groups).applyInPandas(meet, found)
 
     x = F.col(pivot)
-    gap = F.greatest(F.lit(0.0), F.col("__lo") - x, x - F.col("__hi"))
+    # null where the row or the block lacks the ordering column; greatest alone would skip the nulls
+    gap = F.when(x.isNotNull() & F.col("__lo").isNotNull(), F.greatest(F.lit(0.0), F.col("__lo") - x, x - F.col("__hi")))
     # every row against the few block ranges of its key
     pairs = attach(asks, ranges, keys, spread=[idx]).withColumn("__gap", gap)
     home = pairs.filter(F.col("__gap").isNotNull()).groupBy(*keys, idx).agg(

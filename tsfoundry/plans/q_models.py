@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsfoundry.functions import time as tm
-from tsfoundry.operators import forecast, metrics, scale, split, tune
+from tsfoundry.operators import forecast, metrics, run, split, tune
 from tsfoundry.operators.features import add_calendar, add_lags
 from tsfoundry.operators.models.linear_quantile import LinearQuantile
 from tsfoundry.operators.models.naive import quantile_column, seasonal_quantiles
@@ -136,14 +136,9 @@ def other_quantiles(spark, sf):
 def simple_split_run(spark, sf):
     """Scale, fit, forecast recursively and evaluate one train/test split."""
     known = features(spark, sf)
-    marked = known.withColumn("part", F.when(F.col("ts") <= cut_of(known), "train").otherwise("test"))
-    scaled, _ = scale.scale_by_group(marked, "part", {"time": {"columns": ["hour_sin", "hour_cos"], "method": "standard"}})
-    train = scaled.filter(F.col("part") == "train")
-    model = LinearQuantile(FEATURES, quantiles=QS).fit(train)
-    test = scaled.filter(F.col("part") == "test")
-    filled = forecast.recursive_forecast(test, KEY, "idx", "ts", "y", [24, 168], model.expression(0.5))
-    long = forecast.other_quantiles(filled, ["series_id", "ts", "y"], {q: model.expression(q) for q in QS}, FEATURES)
-    inside = long.filter(tm.forecast_window("ts"))
+    groups = {"time": {"columns": ["hour_sin", "hour_cos"], "method": "standard"}}
+    model = LinearQuantile(FEATURES, quantiles=QS)
+    _, inside = run.run_split(known, KEY, "idx", "ts", "y", FEATURES, [24, 168], model, cut_of(known), groups, tm.forecast_window("ts"))
     wide = metrics.to_wide(inside, ["series_id", "ts", "y"], COLS)
     point = metrics.point_errors(wide, KEY, "y", MED)
     cover = metrics.coverage(wide, KEY, "y", LO, HI)
@@ -160,12 +155,9 @@ def model_cv_run(spark, sf):
     )
     folds = forecast.calendar_folds(split.fold_table(spans, [], window_hours=168))
 
-    def score(model, test):
-        filled = forecast.recursive_forecast(test, KEY, "idx", "ts", "y", [24, 168], model.expression(0.5))
-        return filled.withColumnRenamed("pred", MED)
-
-    out = forecast.rolling_cv(df, folds, "ts", lambda: LinearQuantile(FEATURES, quantiles=(0.5,)), score=score)
-    return metrics.point_errors(out.filter(tm.forecast_window("ts")), [*KEY, "fold"], "y", MED)
+    make = lambda: LinearQuantile(FEATURES, quantiles=(0.5,))
+    out = run.run_rolling_cv(df, folds, KEY, "idx", "ts", "y", [24, 168], make, tm.forecast_window("ts"), out=MED)
+    return metrics.point_errors(out, [*KEY, "fold"], "y", MED)
 
 
 @query("tune_random")

@@ -12,7 +12,7 @@ from tsfoundry.operators.models.naive import seasonal_quantiles
 from tsfoundry.plans.panels import DAILY_EXOG, HOURLY, KEY, daily, daily_exog, hourly, table
 from tsfoundry.plans.q_metrics import COLS, FCB, HI, LO, MED, QS, _JOIN, _pit_sql, compared
 from tsfoundry.plans.q_windows import _ACF
-from tsfoundry.plans.registry import query, rnd
+from tsfoundry.plans.registry import ORACLES, query, rnd
 
 X = ["qty", "disc", "tax"]
 
@@ -311,7 +311,22 @@ def lof_outliers(spark, sf):
 def eda_report(spark, sf):
     """The battery as one long table (series, test, statistic, p_value)."""
     own = hy.battery(hourly(spark, sf), KEY, "idx", "y")
-    return own.unionByName(hy.battery(daily_exog(spark, sf), KEY, "idx", "y", X, tests=["chow"]))
+    return own.unionByName(hy.battery(daily_exog(spark, sf), KEY, "idx", "y", X, tests=["chow", *[f"f_regression_{x}" for x in X]]))
+
+
+#: Tests of the battery with a SQL twin of their own: the twin, its condition, and its digits.
+_STATED = {
+    "kpss_d0": ("kpss_test", "true", 7), "jarque_bera": ("jarque_bera", "true", 6), "dagostino_k2": ("dagostino_k2", "true", 6),
+    "breusch_pagan": ("breusch_pagan", "true", 6), "goldfeld_quandt": ("goldfeld_quandt", "true", 8), "bds": ("bds_test", "true", 6),
+    "ljung_box_10": ("ljung_box", "lags = 10", 6), "ljung_box_20": ("ljung_box", "lags = 20", 6),
+}
+_STATED_X = {"chow": ("chow_test", "true", 6), **{f"f_regression_{x}": ("f_regression", f"feature = '{x}'", 4) for x in X}}
+
+
+def _battery_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{test}' AS test, series_id, statistic FROM ({ORACLES[twin]}) WHERE {where}"
+        for test, (twin, where, _) in {**_STATED, **_STATED_X}.items())
 
 
 _BASE = {q: c.replace("pred", "base") for q, c in COLS.items()}
@@ -427,3 +442,14 @@ SELECT h.series_id, ts, round(coalesce(qty, v), 6) + 0.0 AS qty FROM h LEFT JOIN
 def knn_impute(spark, sf):
     out = neighbours.knn_impute(_holed(spark, sf), KEY, "idx", _COLS, 5, ["qty"])
     return out.select("series_id", "ts", rnd("qty").alias("qty"))
+
+
+@query("eda_statistics", sql=_battery_sql())
+def eda_statistics(spark, sf):
+    """The battery's statistics that SQL can state."""
+    own = hy.battery(hourly(spark, sf), KEY, "idx", "y", tests=list(_STATED))
+    out = own.unionByName(hy.battery(daily_exog(spark, sf), KEY, "idx", "y", X, tests=list(_STATED_X)))
+    value = F.lit(None).cast("double")
+    for test, (_, _, digits) in {**_STATED, **_STATED_X}.items():
+        value = F.when(F.col("test") == test, rnd("statistic", digits)).otherwise(value)
+    return out.select("test", "series_id", value.alias("statistic"))
