@@ -140,20 +140,63 @@ def dagostino_k2(spark, sf):
     return out.select("series_id", rnd("z_skew", 7).alias("z_skew"), rnd("z_kurt", 7).alias("z_kurt"), rnd("statistic").alias("statistic"))
 
 
-@query("anderson_darling")
-def anderson_darling(spark, sf):
-    return hy.anderson_darling(hourly(spark, sf), KEY, "y")
+def _tail_sql(a: str) -> str:
+    """Normal tail beyond a >= 0: a power series near the middle, a continued fraction further out."""
+    bell = f"exp(-({a}) * ({a}) / 2) / sqrt(2 * pi())"
+    series = f"list_reduce(range(60, 0, -1)::DOUBLE[], lambda s, j: 1 + s * ({a}) * ({a}) / (2 * j + 1), 1.0::DOUBLE)"
+    fraction = f"list_reduce(range(60, 0, -1)::DOUBLE[], lambda s, j: ({a}) + j / s, ({a})::DOUBLE)"
+    return f"CASE WHEN ({a}) < 3.5 THEN 0.5 - {bell} * ({a}) * {series} ELSE {bell} / {fraction} END"
+
+
+def _cdf_sql(z: str) -> str:
+    return f"CASE WHEN ({z}) < 0 THEN {_tail_sql(f'-({z})')} ELSE 1 - ({_tail_sql(z)}) END"
 
 
-@query("shapiro_wilk")
+def _quantile_sql(p: str) -> str:
+    """Normal quantile by halving steps."""
+    return f"list_reduce(list_transform(range(1, 50), lambda k: pow(2.0, 4 - k))::DOUBLE[], lambda x, h: CASE WHEN ({_cdf_sql('x + h')}) < ({p}) THEN x + h ELSE x END, -8.0::DOUBLE)"
+
+
+@query("anderson_darling", sql=f"""WITH {HOURLY},
+z AS (SELECT series_id, (y - avg(y) OVER g) / stddev_samp(y) OVER g AS z, row_number() OVER (PARTITION BY series_id ORDER BY y, ts) AS i, CAST(count(*) OVER g AS DOUBLE) AS n
+ FROM hourly WINDOW g AS (PARTITION BY series_id)),
+t AS (SELECT series_id, i, n, z, {_tail_sql("abs(z)")} AS tail FROM z),
+l AS (SELECT *, ln(CASE WHEN z < 0 THEN tail ELSE 1 - tail END) AS low, ln(CASE WHEN z < 0 THEN 1 - tail ELSE tail END) AS high FROM t)
+SELECT series_id, round(-n - sum((2 * i - 1) * low + (2 * (n - i) + 1) * high) / n, 6) + 0.0 AS statistic, round(0.787 / (1 + 4 / n - 25 / n / n), 3) + 0.0 AS critical_5 FROM l GROUP BY series_id, n""")
+def anderson_darling(spark, sf):
+    """The statistic and its critical value at five percent."""
+    out = hy.anderson_darling(hourly(spark, sf), KEY, "y")
+    return out.select("series_id", rnd("statistic").alias("statistic"), rnd(F.col("critical_values")[2], 3).alias("critical_5"))
+
+
+def _horner_sql(x: str, coefficients: list[float]) -> str:
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + ({c})"
+    return f"({out})"
+
+
+@query("shapiro_wilk", sql=f"""WITH {HOURLY},
+k AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y, ts) AS i, CAST(count(*) OVER (PARTITION BY series_id) AS DOUBLE) AS n FROM hourly),
+m AS (SELECT *, {_quantile_sql("(i - 0.375) / (n + 0.25)")} AS m FROM k),
+s AS (SELECT series_id, n, sum(m * m) AS mm, max(m) AS m0, max(CASE WHEN i = n - 1 THEN m END) AS m1, var_samp(y) * (n - 1) AS ss, 1 / sqrt(n) AS u, ln(n) AS ln_n FROM m GROUP BY 1, 2),
+a AS (SELECT *, {_horner_sql("u", [*hy._ROYSTON_AN, 0.0])} + m0 / sqrt(mm) AS a0, {_horner_sql("u", [*hy._ROYSTON_AN1, 0.0])} + m1 / sqrt(mm) AS a1 FROM s),
+f AS (SELECT *, sqrt((mm - 2 * m0 * m0 - 2 * m1 * m1) / (1 - 2 * a0 * a0 - 2 * a1 * a1)) AS phi FROM a),
+w AS (SELECT m.series_id, m.n, any_value(f.ln_n) AS ln_n,
+ pow(sum(y * CASE WHEN i = m.n THEN a0 WHEN i = 1 THEN -a0 WHEN i = m.n - 1 THEN a1 WHEN i = 2 THEN -a1 ELSE m.m / phi END), 2) / any_value(ss) AS w
+ FROM m JOIN f ON f.series_id = m.series_id GROUP BY 1, 2),
+z AS (SELECT series_id, n, w, (ln(1 - w) - {_horner_sql("ln_n", hy._ROYSTON_MU)}) / exp({_horner_sql("ln_n", hy._ROYSTON_SIGMA)}) AS z FROM w)
+SELECT series_id, CAST(n AS BIGINT) AS n, round(w, 7) + 0.0 AS statistic, round(1 - ({_cdf_sql("z")}), 9) + 0.0 AS p_value FROM z""")
 def shapiro_wilk(spark, sf):
-    return hy.shapiro_wilk(hourly(spark, sf), KEY, "y")
+    out = hy.shapiro_wilk(hourly(spark, sf), KEY, "y")
+    return out.select("series_id", "n", rnd("statistic", 7).alias("statistic"), rnd("p_value", 9).alias("p_value"))
 
 
-@query("qq_points")
+@query("qq_points", sql=TREND + f""", k AS (SELECT series_id, r, row_number() OVER (PARTITION BY series_id ORDER BY r) AS rank, count(*) OVER (PARTITION BY series_id) AS n FROM tr)
+SELECT series_id, rank, round({_quantile_sql("(rank - 0.5) / n")}, 6) + 0.0 AS theoretical, round(r, 6) + 0.0 AS sample FROM k""")
 def qq_points(spark, sf):
     d = hy.trend_residuals(hourly(spark, sf), KEY, "idx", "y")
-    return hy.qq_points(d, KEY, "r")
+    return hy.qq_points(d, KEY, "r").select("series_id", "rank", rnd("theoretical").alias("theoretical"), rnd("sample").alias("sample"))
 
 
 @query("breusch_pagan", sql=TREND + " SELECT series_id, round(count(*) * regr_r2(r * r, t), 6) + 0.0 AS statistic FROM tr GROUP BY 1")
@@ -301,10 +344,18 @@ def diebold_mariano_p_values(spark, sf):
     return hy.diebold_mariano(compared(spark, sf), [*KEY, "q"], "y", "yhat", "yhat_base")
 
 
-@query("lof_outliers")
+@query("lof_outliers", sql=f"""WITH {HOURLY},
+v AS (SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY y, ts) AS r FROM hourly),
+nb AS (SELECT a.series_id, a.r, b.r AS o, abs(a.y - b.y) AS d FROM v a JOIN v b ON a.series_id = b.series_id AND a.r <> b.r AND abs(a.r - b.r) <= 20
+ QUALIFY row_number() OVER (PARTITION BY a.series_id, a.r ORDER BY abs(a.y - b.y), b.r) <= 20),
+kd AS (SELECT series_id, r, max(d) AS reach FROM nb GROUP BY 1, 2),
+ld AS (SELECT nb.series_id, nb.r, 1 / (avg(greatest(d, reach)) + 1e-10) AS density FROM nb JOIN kd ON kd.series_id = nb.series_id AND kd.r = nb.o GROUP BY 1, 2),
+f AS (SELECT nb.series_id, nb.r, avg(x.density) / any_value(w.density) AS lof FROM nb JOIN ld x ON x.series_id = nb.series_id AND x.r = nb.o
+ JOIN ld w ON w.series_id = nb.series_id AND w.r = nb.r GROUP BY 1, 2)
+SELECT v.series_id, ts, round(y, 6) + 0.0 AS y, round(log10(lof), 6) + 0.0 AS log10_lof FROM v JOIN f ON f.series_id = v.series_id AND f.r = v.r WHERE lof > 1.5""")
 def lof_outliers(spark, sf):
-    out = hy.lof(hourly(spark, sf), KEY, "idx", "y", 20)
-    return out.filter(F.col("lof") > 1.5).select("series_id", "ts", "y", "lof")
+    out = hy.lof(hourly(spark, sf), KEY, "idx", "y", 20).filter(F.col("lof") > 1.5)
+    return out.select("series_id", "ts", rnd("y").alias("y"), rnd(F.log10("lof")).alias("log10_lof"))
 
 
 @query("eda_report")
