@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsfoundry.llm.common import load
+from tsfoundry.operators.ranking import numbered
 from tsfoundry.session import configure, cut_lineage
 
 NAME = "op6_sharding"
@@ -54,14 +55,17 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
     Only buckets over the limit split on one more bit. The rounds read and write
     the directory, sums of bytes in cells finer than shards, not the rows; texts
-    are read once. A bucket of one hash alone cannot split and stays whole. Null
-    and empty texts have no bytes, a null id is hashed as nothing; rows of equal
-    id and text share a shard; an empty table gives no rows; other columns are
-    ignored.
+    are read once. Rows of equal id and text are numbered and hashed with their
+    number, so copies of one row spread like others; only a single text over
+    the limit stays as a shard of its own size. Null and empty texts have no
+    bytes, a null id is hashed as nothing; an empty table gives no rows; other
+    columns are ignored.
     """
     bits = F.lpad(F.bin(F.xxhash64(F.col(id_col), F.col(text_col))), 64, "0").substr(1, BITS)
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = cut_lineage(docs.select(F.col(id_col).alias("id"), n_bytes.alias("n_bytes"), bits.alias("bits")))
+    rows = numbered(docs.select(F.col(id_col).alias("id"), n_bytes.alias("n_bytes"), bits.alias("bits")), ["bits"], [], out="copy")
+    again = F.lpad(F.bin(F.xxhash64("bits", "copy")), 64, "0").substr(1, BITS)
+    rows = cut_lineage(rows.select("id", "n_bytes", F.when(F.col("copy") > 1, again).otherwise(F.col("bits")).alias("bits")))
     rows = cut_lineage(cells_of(rows, limit))
     cells = cut_lineage(rows.groupBy("cell").agg(F.sum("n_bytes").alias("n_bytes"), F.min("bits").alias("low"), F.max("bits").alias("high")))
     return rows.join(depths(cells, limit), "cell").select(F.col("id").alias(id_col), F.expr("substr(bits, 1, depth)").alias("shard"), "depth", "n_bytes")
