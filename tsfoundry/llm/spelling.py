@@ -24,6 +24,8 @@ RATIO = 10
 NOISE = 31
 #: Bigrams are counted in so many buckets, whatever the alphabet; a table of as many counts goes to the tasks.
 BUCKETS = 1 << 16
+#: Code points up to which a word itself stands in the index.
+LONG = 64
 #: Bigrams in a prefix, tried in turn: of three some two are disjoint; the last size takes all.
 PREFIX_SIZES = (3, 4, 5, 6, 8, 11, 16, 1 << 30)
 #: A prefix grows while its pivots are expected to meet more words than this.
@@ -153,15 +155,58 @@ def near_pairs(words: DataFrame) -> DataFrame:
     has, for each prefix bigram, the length with the part of the word up to the
     bigram and the part from it on; a word asks for its left pivot's part and
     its right pivot's part at three lengths. What meets is verified by edit
-    distance. Words are distinct, of four code points at least.
+    distance. Words are distinct, of four code points at least. Rows of the index
+    hold the word up to ``LONG`` code points; longer ones, which may have very
+    many rows, are named by a hash there and fetched for the pairs that meet.
     """
     counts, n_words = gram_counts(words), words.count()
+    short = _meet(words.where(F.length("word") <= LONG), counts, n_words, "word")
+    long = _meet(words.where(F.length("word") >= LONG).withColumn("id", F.xxhash64("word")), counts, n_words, "id")
+    name = words.select(F.xxhash64("word").alias("id"), "word")
+    long = long.join(name, "id").join(name.select(F.col("id").alias("other_id"), F.col("word").alias("other")), "other_id")
+    long = long.where(F.greatest(F.length("word"), F.length("other")) > LONG)
+    near = F.levenshtein("word", "other", 1) == 1
+    # the edit distance of long words takes the square of their length even under a limit
+    return _verified(short, near).unionAll(_verified(long.mapInArrow(_keep_one_edit, long.schema), F.lit(True)))
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one insertion, deletion or replacement turns one word into the other, in linear time."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    x, y = (np.frombuffer(w.encode("utf-32-le"), "<u4") for w in sorted((a, b), key=len))
+    differ = np.flatnonzero(x != y[: len(x)])
+    if not len(differ):
+        return True
+    at = int(differ[0])
+    return bool((x[at + (len(x) == len(y)) :] == y[at + 1 :]).all())
+
+
+def _keep_one_edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words, others = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("word", "other"))
+        yield b.filter(pa.array([one_edit(w, o) for w, o in zip(words, others)], pa.bool_()))
+
+
+def _verified(met: DataFrame, near: F.Column) -> DataFrame:
+    """The pairs of ``met`` one edit apart, each once: of two ways to meet the right pivot's counts."""
+    ahead = (F.col("last") < F.col("other_last")) | ((F.col("last") == F.col("other_last")) & (F.col("word") < F.col("other")))
+    tail = lambda c: F.right(c, F.length("word") - F.col("right"))
+    same_tail = tail(F.col("word")) == tail(F.col("other"))
+    same_head = F.substring("word", F.lit(1), F.col("left") + 2) == F.substring("other", F.lit(1), F.col("left") + 2)
+    once = F.when(F.col("kind") == 1, same_tail).otherwise(same_head & ~same_tail)
+    return met.where(ahead & once & near).select("word", "n", "other", "other_n")
+
+
+def _meet(words: DataFrame, counts: np.ndarray, n_words: int, name: str) -> DataFrame:
+    """Asking words with what their pivots meet; ``name`` is the column that stands for a word: ``word`` or ``id``."""
     order = np.empty(BUCKETS, np.int64)
     order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
 
     def batch(b: pa.RecordBatch, of: np.ndarray, key: np.ndarray, kind: np.ndarray, last: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
         take = pa.array(of)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind.astype(np.int8)), b.column(0).take(take), b.column(1).take(take), pa.array(last.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], ["key", "kind", "word", "n", "last", "left", "right"])
+        own = b.column(b.schema.get_field_index(name)).take(take)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind.astype(np.int8)), own, b.column(1).take(take), pa.array(last.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], ["key", "kind", name, "n", "last", "left", "right"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,15 +230,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 for more in (-1, 0, 1):
                     yield batch(b, of, _key(kind, hashed, g.length + more), np.full(len(of), kind), last, left, right)
 
-    schema = "key long, kind byte, word string, n long, last int, left int, right int"
-    asks = words.select("word", "n").mapInArrow(ask, schema).alias("a")
-    has = words.select("word", "n").mapInArrow(index, schema).select("key", "kind", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last")).alias("b")
-    met = asks.join(has, ["key", "kind"]).where((F.col("last") < F.col("other_last")) | ((F.col("last") == F.col("other_last")) & (F.col("word") < F.col("other"))))
-    tail = lambda c: F.right(c, F.length("word") - F.col("right"))
-    same_tail = tail(F.col("word")) == tail(F.col("other"))
-    same_head = F.substring("word", F.lit(1), F.col("left") + 2) == F.substring("other", F.lit(1), F.col("left") + 2)
-    once = F.when(F.col("kind") == 1, same_tail).otherwise(same_head & ~same_tail)
-    return met.where(once & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    schema = f"key long, kind byte, {name} {'string' if name == 'word' else 'long'}, n long, last int, left int, right int"
+    rows = words.select("word", "n", *([name] if name != "word" else []))
+    asks = rows.mapInArrow(ask, schema)
+    other = "other" if name == "word" else "other_id"
+    has = rows.mapInArrow(index, schema).select("key", "kind", F.col(name).alias(other), F.col("n").alias("other_n"), F.col("last").alias("other_last"))
+    return asks.join(has, ["key", "kind"]).where(F.col("last") <= F.col("other_last"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
