@@ -75,6 +75,41 @@ def test_cubic_reproduces_a_cubic(spark, series):
     assert np.allclose(got, f)
 
 
+def _cubic(known, x):
+    """Brute force: known points sorted by index, one row's index."""
+    before, after = [p for p in known if p[0] <= x], [p for p in known if p[0] > x]
+    if not before or before[-1][0] == x or not after:
+        return before[-1][1] if before else None
+    pts = before[-2:] + after[:2]
+    if len(before) < 2 or len(after) < 2:
+        pts = [before[-1], after[0]]
+    return sum(v * np.prod([(x - j) / (i - j) for j, _ in pts if j != i]) for i, v in pts)
+
+
+def test_cubic_over_chunks_equals_brute_force(spark, series):
+    rng = np.random.default_rng(5)
+    y = [None] * 20 + [1.0] + [None] * 30 + [2.0, 5.0] + [None] * 11 + [7.0, None, 3.0, 4.0, 1.0] + [None] * 40
+    panels = {"a": y, "b": [None if u < 0.8 else u for u in rng.random(120)], "c": [None] * 30, "d": [2.0] + [None] * 40}
+    df = series({"y": []})
+    for sid, v in panels.items():
+        df = df.union(series({"y": v}, sid, -13))
+    df = df.filter("idx % 5 != 1 OR y IS NOT NULL").withColumn("note", F.concat("series_id", F.col("idx").cast("string")))
+    out = interpolate_cubic(df, K, "idx", "y", out="z", chunk=8)
+    assert out.columns == [*df.columns, "z"]
+    rows = out.collect()
+    assert sorted((r.series_id, r.idx, r.note) for r in rows) == sorted((r.series_id, r.idx, r.note) for r in df.collect())
+    for r in rows:
+        want = _cubic([(i - 13, v) for i, v in enumerate(panels[r.series_id]) if v is not None], r.idx)
+        assert r.z == want if r.y is not None or want is None else abs(r.z - want) < 1e-9 * max(1, abs(want)), r
+
+
+def test_cubic_sorts_rows_once_and_joins_none(series):
+    out = interpolate_cubic(series({"y": [1.0, None, 3.0]}).withColumn("note", F.lit("x")), K, "idx", "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Sort [") == 3  # known points, those at the ends of chunks, all rows
+
+
 def test_resample_fills_gaps(spark):
     df = spark.sql("""SELECT 'a' series_id, timestamp_ntz'2024-01-01 00:10:00' ts, 2.0D v
         UNION ALL SELECT 'a', timestamp_ntz'2024-01-01 00:50:00', 3.0D
@@ -91,6 +126,13 @@ def test_grid_spans_several_chunks(spark):
     assert got == list(range(-5000, 9001))
 
 
+def test_grid_is_dealt_before_its_rows_are_made(spark):
+    rows = [(str(k), i) for k in range(40) for i in (0, 9999)]
+    grid = grid_index(spark.createDataFrame(rows, "series_id string, idx long"), K)
+    parts = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 400_000 and len(parts) == 4 and max(parts) < 200_000
+
+
 def test_empty_input(spark, series):
     none = series({"y": [1.0]}).filter("idx > 5")
     assert interpolate_time(none, K, "idx", "y").count() == 0

@@ -15,15 +15,19 @@ GRID_CHUNK = 4096
 def grid_index(rows: DataFrame, keys: Sequence[str], idx: str = "idx") -> DataFrame:
     """Every step index between the first and last one of each key.
 
-    Generated in two levels, so no array is longer than a chunk.
+    Generated in two levels, so no array is longer than a chunk. The chunks are
+    dealt to a few tasks per core first: by their own few bytes adaptive
+    execution would leave them, and so the whole grid, to one or a few in all.
     """
+    spark = rows.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     span = rows.groupBy(*keys).agg(F.min(idx).alias("__lo"), F.max(idx).alias("__hi"))
     chunks = span.select(
         *keys, "__lo", "__hi",
         F.explode(
             F.sequence(floor_div(F.col("__lo"), GRID_CHUNK), floor_div(F.col("__hi"), GRID_CHUNK))
         ).alias("__g"),
-    )
+    ).repartition(tasks, *keys, "__g")
     start = F.greatest(F.col("__lo"), F.col("__g") * GRID_CHUNK)
     stop = F.least(F.col("__hi"), F.col("__g") * GRID_CHUNK + (GRID_CHUNK - 1))
     return chunks.select(*keys, F.explode(F.sequence(start, stop)).alias(idx))
